@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 #: The pre-tokenising pattern of byte-level vocabularies of this kind.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counts that a worker keeps of words seen; at the bound they are forgotten and start anew.
-KEPT = 1_000_000
-#: Pieces that a text is cut into when a match would hold more than a piece at once.
+KEPT = 500_000
+#: A text falls into words with the spaces before them; where it has other white space, the full pattern cuts it.
 _FAST = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]|[\x85᠎​﻿]")
+_ODD = re.compile(r"[^\S \n]")
 
 
 def byte_symbols() -> list[str]:
@@ -29,52 +29,44 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def merge_count(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> int:
-    """Symbols left after merging: again and again the pair of lowest rank, leftmost first.
+def merge_count(raw: bytes, first: list[int], ranks: dict[int, int], merged: list[int], byte: list[int]) -> int:
+    """Symbols left after merging the bytes: again and again the pair of lowest rank, leftmost first.
 
-    ranks: (left << 32 | right) to (rank, merged). Neighbours are linked lists; stale heap entries are skipped.
+    first: the rank of each pair of bytes, -1 for none; ranks: that of (left << 20 | right); merged: the symbol a rank
+    makes. The heap holds rank << 32 | place; neighbours are linked lists, and entries whose pair is gone are skipped.
     """
-    n = len(symbols)
-    heap = []
-    get = ranks.get
-    left = symbols[0]
-    for i in range(1, n):
-        right = symbols[i]
-        if (found := get(left << 32 | right)) is not None:
-            heap.append((found[0], i - 1, left, right))
-        left = right
+    n = len(raw)
+    heap = [r << 32 | i for i, r in enumerate([first[a << 8 | b] for a, b in zip(raw, raw[1:])]) if r >= 0]
     if not heap:
         return n
-    if len(heap) == 1:
-        _, i, a, b = heap[0]
-        new = get(a << 32 | b)[1]
-        if (i == 0 or get(symbols[i - 1] << 32 | new) is None) and (i + 2 >= n or get(new << 32 | symbols[i + 2]) is None):
-            return n - 1
     heapify(heap)
+    symbols = [byte[c] for c in raw]
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    symbols = symbols.copy()
-    size, merged = len(symbols), 0
+    get = ranks.get
+    left = n
     while heap:
-        _, i, a, b = heappop(heap)
+        top = heappop(heap)
+        i = top & 0xFFFFFFFF
+        a = symbols[i]
         j = after[i]
-        if symbols[i] != a or j >= size or symbols[j] != b:
+        if a < 0 or j >= n:
+            continue
+        rank = top >> 32
+        if get(a << 20 | symbols[j]) != rank:
             continue
-        new = get(a << 32 | b)[1]
-        merged += 1
-        symbols[i], symbols[j] = new, -1
+        left -= 1
+        symbols[i] = new = merged[rank]
+        symbols[j] = -1
         k = after[i] = after[j]
-        if k < size:
+        if k < n:
             before[k] = i
-            c = symbols[k]
-            if (found := get(new << 32 | c)) is not None:
-                heappush(heap, (found[0], i, new, c))
+            if (r := get(new << 20 | symbols[k])) is not None:
+                heappush(heap, r << 32 | i)
         h = before[i]
-        if h >= 0:
-            c = symbols[h]
-            if (found := get(c << 32 | new)) is not None:
-                heappush(heap, (found[0], h, c, new))
-    return size - merged
+        if h >= 0 and (r := get(symbols[h] << 20 | new)) is not None:
+            heappush(heap, r << 32 | h)
+    return left
 
 
 class Counter:
@@ -85,11 +77,14 @@ class Counter:
 
         model = json.loads(vocabulary)
         ids = model["model"]["vocab"]
-        self.ranks: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(model["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a] << 20 | ids[b]] = rank
+            self.merged.append(ids[a + b])
         self.byte = [ids[c] for c in byte_symbols()]
+        self.first = [self.ranks.get(a << 20 | b, -1) for a in self.byte for b in self.byte]
         self.find = regex.compile(PRETOKEN).findall
         special = [t["content"] for t in model.get("added_tokens") or []]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
@@ -107,24 +102,37 @@ class Counter:
         class Chunks(dict):
             def __missing__(self, chunk: str) -> int:
                 n = sum(map(counter.words.__getitem__, counter.find(chunk)))
-                if len(self) >= KEPT // 2:
+                if len(self) >= KEPT:
                     self.clear()
                 if len(chunk) <= 64:
                     self[chunk] = n
                 return n
 
-        self.words, self.chunks = Words(), Chunks()
+        class Spaced(dict):
+            """By what follows a single space."""
+
+            def __missing__(self, piece: str) -> int:
+                n = sum(map(counter.words.__getitem__, counter.find(" " + piece)))
+                if len(self) >= KEPT:
+                    self.clear()
+                if len(piece) <= 64:
+                    self[piece] = n
+                return n
+
+        self.words, self.chunks, self.spaced = Words(), Chunks(), Spaced()
 
     def word(self, raw: bytes) -> int:
         if len(raw) == 1:
             return 1
-        byte = self.byte
-        return merge_count([byte[c] for c in raw], self.ranks)
+        return merge_count(raw, self.first, self.ranks, self.merged, self.byte)
 
     def plain(self, text: str) -> int:
         if _ODD.search(text):
             return sum(map(self.words.__getitem__, self.find(text)))
-        return sum(map(self.chunks.__getitem__, _FAST.findall(text)))
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+            return sum(map(self.chunks.__getitem__, _FAST.findall(text)))
+        first, *rest = text.split(" ")
+        return self.chunks[first] + sum(map(self.spaced.__getitem__, rest))
 
     def __call__(self, text: str | None) -> int:
         if not text:
