@@ -1,6 +1,6 @@
 """Language ID with a blended-spectrum string kernel.
 
-Two texts' kernel is the number of character n-grams (n = 1 to 4, hashed) that both hold, over the root of how many
+Two texts' kernel is the number of character n-grams (n = 1 to 3, hashed) that both hold, over the root of how many
 each holds, with orders blended evenly. Nystroem landmarks map it to features; one-versus-rest kernel ridge regression
 is fitted on them. A score is linear in the presence vector, so the landmarks and weights fold into one matrix. A text
 is scored by stretches of SEGMENT characters, whose scores count by length, so that a passage in another language does
@@ -21,12 +21,12 @@ from ._labelled import held_out, sample_by_label
 
 _U = np.uint32
 #: Hashed n-grams of each order; orders 1 to ORDERS.
-BITS, ORDERS = 13, 4
+BITS, ORDERS = 12, 3
 WIDTH = ORDERS << BITS
 #: The answer for texts without letters.
 UNKNOWN = "und"
 #: Characters of a stretch; characters whose n-grams are hashed at once in training; stretches of a matrix.
-SEGMENT, PIECE = 1536, 1 << 18
+SEGMENT, PIECE = 400, 1 << 18
 ROWS = 128
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -85,14 +85,14 @@ def fit(samples: list[np.ndarray], langs: list[str], landmarks: int, ridge: floa
     """Kernel ridge regression on Nystroem features; samples in a fixed order, landmarks taken in turn from each language."""
     names = sorted(set(langs))
     y = np.array([names.index(v) for v in langs])
-    x = np.stack([unit(s) for s in samples])
     turns = [np.flatnonzero(y == i) for i in range(len(names))]
     picked = [int(t[k]) for k in range(max(map(len, turns))) for t in turns if k < len(t)][:landmarks]
-    z = x[picked].astype(np.float64)
+    z = np.stack([unit(samples[i]) for i in picked]).astype(np.float64)
     value, vector = np.linalg.eigh(z @ z.T)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = (x @ z.T.astype(np.float32)).astype(np.float64) @ root
+    kernel = [np.stack([unit(s) for s in samples[i : i + ROWS]]) @ z.T.astype(np.float32) for i in range(0, len(samples), ROWS)]
+    phi = np.concatenate(kernel).astype(np.float64) @ root
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weigh = (1.0 / np.bincount(y))[y][:, None] * len(y) / len(names)  # languages count alike, however many rows
     bias = (weigh * target).mean(axis=0)
@@ -100,10 +100,11 @@ def fit(samples: list[np.ndarray], langs: list[str], landmarks: int, ridge: floa
     return Model(names, (z.T @ (root @ w)).astype(np.float32), bias.astype(np.float32))
 
 
-def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, langs: int = 200) -> Model | None:
+def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 320, langs: int = 200, stretches: int = 3) -> Model | None:
     """A model from at most about per_lang documents of each of the `langs` most frequent languages, none held out.
 
-    That sample is bounded by these parameters; executors turn its texts into n-grams, which alone reach the driver.
+    That sample is bounded by these parameters; so are the stretches, evenly spaced over a whole text, that stand for each
+    of its documents. Executors turn them into n-grams, which alone reach the driver.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
 
@@ -111,8 +112,9 @@ def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, langs: int
         for batch in batches:
             for row in batch.to_pylist():
                 if (c := letters(row["text"])) is not None:
-                    at = presence(c)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([row["doc_id"]], pa.int64()), "lang": [row["lang"]], "at": pa.array([at], pa.list_(pa.int32()))})
+                    parts = np.array_split(c, max(1, round(len(c) / SEGMENT)))
+                    at = [presence(parts[i]) for i in sorted({k * len(parts) // stretches for k in range(stretches)})]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([row["doc_id"]] * len(at), pa.int64()), "lang": [row["lang"]] * len(at), "at": pa.array(at, pa.list_(pa.int32()))})
 
     got = sample_by_label(rows, "lang", per_lang, langs).mapInArrow(grams, "doc_id bigint, lang string, at array<int>").collect()
     if not got:

@@ -81,14 +81,33 @@ def fixed_votes(text: str | None, words: set[str]) -> list[int]:
 
 
 def mine(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Features that stand in several toxic sample documents and hardly in clean ones."""
+    """Features that stand in several toxic sample documents which no feature before them covers, and hardly in clean ones.
+
+    The words that near copies of one toxic document share are covered by the feature that makes it toxic.
+    """
     toxic = np.zeros(1 << BITS)
     clean = np.zeros(1 << BITS)
-    for at, label in zip(rows, y, strict=True):
+    holders: dict[int, list[int]] = {}
+    for i, (at, label) in enumerate(zip(rows, y, strict=True)):
         (toxic if label else clean)[at] += 1
-    rate = (toxic + 0.5) / max(1, y.sum()) / ((clean + 0.5) / max(1, (1 - y).sum()))
-    good = np.flatnonzero((toxic >= SUPPORT) & (rate >= 8))
-    return good[np.lexsort((good, -toxic[good] * np.log(rate[good])))][:MINED]
+        if label:
+            for f in at.tolist():
+                holders.setdefault(f, []).append(i)
+    n_clean, n_toxic = max(1.0, (1 - y).sum()), max(1.0, y.sum())
+    against = (clean + 0.5) / n_clean
+    covered, out = np.zeros(len(rows), dtype=bool), []
+    while len(out) < MINED:
+        rate = (toxic + 0.5) / n_toxic / against
+        worth = np.where((toxic >= SUPPORT) & (rate >= 8), toxic * np.log(rate), 0)
+        best = int(np.argmax(worth))
+        if worth[best] <= 0:
+            break
+        out.append(best)
+        for i in holders[best]:
+            if not covered[i]:
+                covered[i] = True
+                toxic[rows[i]] -= 1
+    return np.asarray(out, dtype=np.int64)
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -217,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> Model |
     strong = np.zeros(1 << BITS)
     toxic, every = mined.T @ (weigh * post), mined.T @ weigh
     share = (toxic + 0.1) / (every + 1.0)
-    sure = share > 0.9
+    sure = share > 0.8
     strong[found[sure]] = np.log(share[sure] / (1 - share[sure]))
     told = np.array([bool((strong[x] > 0).any()) for x in at])
     later = np.arange(len(y)) % 4 == 3  # of every fourth row, those with no strong feature tell how the other scores are to be read
