@@ -82,8 +82,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 16,
     rows = usable(vectors)
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     blocks, groups = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-sizes["q"] // QUERIES))
-    data = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "v")
-    ask = rows.filter(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v")
+    data = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks).cast("bigint")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "v")
+    ask = rows.filter(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v")
 
     def search(data: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[tuple] = []
