@@ -165,9 +165,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     rows = shared.withColumn("comp", F.col("node")) if label is None else shared.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rows = cut(rows.join(spread, "token"))
+    # A shingle that no other of these nodes holds is in no overlap of theirs: what is left bounds each node's overlaps.
+    alone = sets.join(rows.select("node").distinct(), "node").select(F.explode("items").alias("token"), "node")
+    alone = alone.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    rows = rows.join(cut(alone), "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
+    rows = cut(rows.select("token", "node", "comp", "n", "matches", "most"))
     x, y = rows.alias("x"), rows.alias("y")
-    longest = F.lit(percent) * F.greatest("x.n", "y.n") <= F.lit(100) * F.least("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & longest)
+    enough = F.lit(100 + percent) * F.least("x.most", "y.most", "x.n", "y.n") >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & enough)
     pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("m")).filter("c >= m")
     seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = cut(_verified(pairs.join(seen, ["a", "b"], "left_anti"), sets, percent))

@@ -71,7 +71,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(ok, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 16, share: float = 0.6, seed: int = 29) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 16, share: float = 0.7, seed: int = 29) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. Null and
