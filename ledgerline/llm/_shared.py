@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from functools import lru_cache
 
@@ -24,9 +25,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder, with no lineage before them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to the checkpoint folder, with no lineage before them.
+
+    The driver's garbage is collected, so that Spark drops shuffle files that nothing refers to any more.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +24,11 @@ from ._shared import bounded, components, cut, mix64, shingles
 
 _U = np.uint64
 #: Buckets of the frequency sketch: its size does not depend on the input.
-SKETCH_BITS = 17
+SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 #: Longest multi-match requirement, and the cost of verifying a candidate against probing a posting.
 MOST_MATCHES, VERIFY_COST = 4, 4.0
 #: Rounds against central nodes before the exact step over what is left.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Verified pairs a task may gather in one Arrow batch.
 SMALL_BATCH = 512
 
@@ -40,20 +41,32 @@ def _texts(batches) -> Iterator[tuple[list, list]]:
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents per bucket of shingle hashes, over all documents: a fixed number of counters."""
+    """Documents per bucket of shingle hashes, over all documents: a fixed number of counters.
+
+    A task's counters travel as blocks, which are summed in groups of bounded size, twice.
+    """
+    salts = max(1, docs.rdd.getNumPartitions() // 128)
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for _, texts in _texts(batches):
             for text in texts:
                 np.add.at(total, (shingles(text, k) >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 65536):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(at[i : i + 65536], pa.int32()), "n": pa.array(total[at[i : i + 65536]], pa.int64())})
-
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        salt = TaskContext.get().partitionId() % salts
+        for i in range(0, len(total), SKETCH_BLOCK):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i // SKETCH_BLOCK], pa.int32()), "salt": pa.array([salt], pa.int32()), "counts": pa.array([total[i : i + SKETCH_BLOCK].astype(np.uint32).tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(c.as_py(), dtype=np.uint32).astype(np.uint64) for c in table["counts"]), np.zeros(SKETCH_BLOCK, np.uint64))
+        return pa.table({"block": table["block"][:1], "salt": table["salt"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+
+    kind = "block int, salt int, counts binary"
+    rows = docs.select("doc_id", "text").mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
+    if salts > 1:
+        rows = rows.groupBy("block").applyInArrow(add, kind)
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    sketch[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    for r in rows.collect():
+        sketch[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], dtype=np.uint32)
     return sketch
 
 
