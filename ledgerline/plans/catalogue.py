@@ -1,9 +1,384 @@
-"""The registered queries of the library's own operators."""
+"""The registered queries: each operator over the driver's tables, with DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ledgerline.functions import addresses, geometry, names
+from ledgerline.operators import aggregates as A
+from ledgerline.operators import folds, joins, statistics
+from ledgerline.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years' override joined with the orders' composition."""
+    return city_year_override(spark, sf_dir).crossJoin(F.broadcast(household_composition(spark, sf_dir).filter("o_orderpriority = '1-URGENT'").select("with_returns", "pct_mixed")))
+
+
+@_query("""
+WITH base AS (SELECT CAST(year(o_orderdate) AS INTEGER) yr, CAST(count(*) AS BIGINT) households, CAST(round(sum(o_totalprice)) AS BIGINT) population FROM orders GROUP BY 1),
+newer AS (SELECT CAST(year(l_shipdate) AS INTEGER) yr, CAST(sum(l_quantity) AS BIGINT) population FROM lineitem GROUP BY 1)
+SELECT coalesce(b.yr, n.yr) yr, b.households, CASE WHEN n.yr IS NOT NULL THEN n.population ELSE b.population END population FROM base b FULL JOIN newer n ON b.yr = n.yr""")
+def city_year_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years by orders, overridden by what was shipped; households stay those of the orders."""
+    base = _t(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("yr")).agg(F.count("*").alias("households"), F.round(F.sum("o_totalprice")).cast("bigint").alias("population"))
+    newer = _t(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("yr")).agg(F.sum("l_quantity").cast("bigint").alias("population"))
+    return joins.override(base, newer, ["yr"], ["households"])
+
+
+@_query("""
+WITH o AS (SELECT l_orderkey, count(*) n, count(*) FILTER (l_returnflag = 'R') fb FROM lineitem GROUP BY 1)
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) orders, CAST(count(*) FILTER (fb > 0) AS BIGINT) with_returns, CAST(count(*) FILTER (fb > 0 AND n - fb <= 0) AS BIGINT) only_returns,
+ CAST(count(*) FILTER (fb > 0 AND n - fb > 0) AS BIGINT) mixed, CAST(sum(fb) AS BIGINT) returned, round(count(*) FILTER (fb > 0 AND n - fb > 0) * 100.0 / nullif(count(*) FILTER (fb > 0), 0), 1) pct_mixed
+FROM o JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def household_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with returned lines only, mixed ones, and their share: one pass of conditional counts."""
+    per = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("fb"))
+    rest = F.col("n") - F.col("fb")
+    has, mixed = F.col("fb") > 0, (F.col("fb") > 0) & (rest > 0)
+    rows = per.join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority")
+    return rows.agg(F.count("*").alias("orders"), F.count_if(has).alias("with_returns"), F.count_if(has & (rest <= 0)).alias("only_returns"), F.count_if(mixed).alias("mixed"), F.sum("fb").alias("returned"), A.pct(F.count_if(mixed), F.count_if(has), 1).alias("pct_mixed"))
+
+
+@_query("""
+WITH o AS (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1)
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) n, CAST(list_sort(list(o.n))[count(*) // 2 + 1] AS BIGINT) upper_median FROM o JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def holding_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    rows = per.join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return A.upper_median(rows, ["o_orderpriority"], "lines")
+
+
+_BANDS = [("0-9", 0, 10), ("10-19", 10, 20), ("20-34", 20, 35), ("35-50", 35, 51), ("51+", 51, 900), ("unknown", 900, 1000)]
+_BANDS_SQL = ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _BANDS)
+
+
+@_query(f"""
+SELECT band, CAST(count(p_partkey) AS BIGINT) n, CAST(count(*) FILTER (p_type = 'ECONOMY') AS BIGINT) economy, CAST(count(*) FILTER (p_type = 'STANDARD') AS BIGINT) standard,
+ CAST(count(*) FILTER (p_type NOT IN ('ECONOMY', 'STANDARD')) AS BIGINT) other FROM (VALUES {_BANDS_SQL}) b(band, low, high) LEFT JOIN part ON p_size >= low AND p_size < high GROUP BY band""")
+def age_sex_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-open bands by codes; empty bands and the sentinel band appear."""
+    bands = spark.createDataFrame(_BANDS, "band string, low int, high int")
+    kind = F.col("p_type")
+    return A.banded(_t(spark, sf_dir, "part"), "p_size", bands, [F.count("p_partkey").alias("n"), F.count_if(kind == "ECONOMY").alias("economy"), F.count_if(kind == "STANDARD").alias("standard"), F.count_if(~kind.isin("ECONOMY", "STANDARD")).alias("other")])
+
+
+_CLOSED = [("1", 1, 1), ("2", 2, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11+", 11, 1_000_000)]
+
+
+@_query(f"""
+SELECT band, CAST(count(l_orderkey) AS BIGINT) people, CAST(count(DISTINCT l_orderkey) AS BIGINT) holdings FROM (VALUES {", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _CLOSED)}) b(band, low, high)
+LEFT JOIN lineitem ON l_quantity >= low AND l_quantity <= high GROUP BY band""")
+def holding_bands_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = spark.createDataFrame(_CLOSED, "band string, low int, high int")
+    return A.banded(_t(spark, sf_dir, "lineitem"), "l_quantity", bands, [F.count("l_orderkey").alias("people"), F.count_distinct("l_orderkey").alias("holdings")], closed=True)
+
+
+def _wards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("ward")).agg(F.count("*").alias("black"))
+    s = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("ward")).agg(F.count("*").alias("white"))
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ward"))
+    rows = n.join(c, "ward", "left").join(s, "ward", "left").select("ward", F.coalesce("black", F.lit(0)).alias("black"), F.coalesce("white", F.lit(0)).alias("white"))
+    return rows.withColumn("aggregate", F.col("black") + F.col("white"))
+
+
+_WARDS = """WITH w AS (SELECT n_nationkey ward, coalesce(b, 0) black, coalesce(s, 0) white, coalesce(b, 0) + coalesce(s, 0) aggregate FROM nation
+ LEFT JOIN (SELECT c_nationkey, count(*) b FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey)"""
+
+
+@_query(_WARDS + " SELECT ward, CAST(black AS BIGINT) black, CAST(white AS BIGINT) white, CAST(aggregate AS BIGINT) aggregate, round(black * 100.0 / nullif(aggregate, 0), 2) black_pct FROM w")
+def ward_shares_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares by ward, after the rows' identities and the columns' totals were checked against the source tables."""
+    printed = {"black": _t(spark, sf_dir, "customer").count(), "white": _t(spark, sf_dir, "supplier").count()}
+    return A.reconciled(_wards(spark, sf_dir), ["black", "white"], "aggregate", printed).withColumn("black_pct", A.pct(F.col("black"), F.col("aggregate")))
+
+
+@_query(_WARDS + " SELECT round(0.5 * sum(abs(black / (SELECT sum(black) FROM w)::DOUBLE - white / (SELECT sum(white) FROM w)::DOUBLE)), 6) dissimilarity FROM w")
+def dissimilarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.dissimilarity(_wards(spark, sf_dir), "black", "white").select(F.round("dissimilarity", 6).alias("dissimilarity"))
+
+
+@_query(_WARDS + ", p AS (SELECT black * 100.0 / nullif(aggregate, 0) pct FROM w) SELECT round(stddev_samp(pct), 6) sd, round(stddev_samp(pct) / avg(pct), 6) cv FROM p")
+def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _wards(spark, sf_dir).select((F.col("black") * 100.0 / F.nullif(F.col("aggregate"), F.lit(0))).alias("pct"))
+    return statistics.dispersion(rows, "pct").select(F.round("sd", 6).alias("sd"), F.round("cv", 6).alias("cv"))
+
+
+@_query(_WARDS + " SELECT ward, round((black / nullif(aggregate, 0)::DOUBLE) / ((SELECT sum(black) FROM w) / (SELECT sum(aggregate) FROM w)::DOUBLE), 6) quotient FROM w")
+def location_quotient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.location_quotient(_wards(spark, sf_dir), "black", "aggregate").select("ward", F.round("quotient", 6).alias("quotient"))
+
+
+@_query(_WARDS + " SELECT round(corr(black, white), 6) r FROM w")
+def ward_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wards(spark, sf_dir).agg(F.round(F.corr("black", "white"), 6).alias("r"))
+
+
+@_query(_WARDS + " SELECT ward, round((white / (SELECT sum(white) FROM w)::DOUBLE) / nullif(black / (SELECT sum(black) FROM w)::DOUBLE, 0), 6) representation FROM w")
+def representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ward's share of the directory over its share of the census."""
+    rows = _wards(spark, sf_dir)
+    whole = rows.agg(F.sum("white").alias("w"), F.sum("black").alias("b"))
+    return rows.crossJoin(F.broadcast(whole)).select("ward", F.round((F.col("white") / F.col("w")) / F.nullif(F.col("black") / F.col("b"), F.lit(0.0)), 6).alias("representation"))
+
+
+@_query("""
+WITH r AS (SELECT n_name ward, year(o_orderdate) yr, sum(o_totalprice) v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT a.ward, round(a.v, 2) before, round(b.v, 2) after, round(b.v - a.v, 2) delta FROM r a JOIN r b ON a.ward = b.ward AND a.yr = 1995 AND b.yr = 1996""")
+def year_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years side by side: one aggregate with conditional sums instead of a self-join."""
+    o = _t(spark, sf_dir, "orders").withColumn("yr", F.year("o_orderdate")).filter(F.col("yr").isin(1995, 1996))
+    rows = o.join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum(F.when(F.col("yr") == 1995, F.col("o_totalprice"))).alias("a"), F.sum(F.when(F.col("yr") == 1996, F.col("o_totalprice"))).alias("b"))
+    rows = rows.filter("a is not null and b is not null").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("n_name").alias("ward"), F.round("a", 2).alias("before"), F.round("b", 2).alias("after"), F.round(F.col("b") - F.col("a"), 2).alias("delta"))
+
+
+@_query("""
+SELECT n_name ward, CAST(round(sum(coalesce(o_totalprice, 0))) AS BIGINT) AS value, CAST(count(o_orderkey) AS BIGINT) dwellings, CAST(CASE WHEN count(o_orderkey) = 0 THEN 0 ELSE round(sum(o_totalprice) / count(o_orderkey)) END AS BIGINT) value_per_dwelling
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def valuation_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("d"))
+    rows = _t(spark, sf_dir, "nation").join(o, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return rows.select(F.col("n_name").alias("ward"), F.round(F.coalesce("v", F.lit(0.0))).cast("bigint").alias("value"), F.coalesce("d", F.lit(0)).cast("bigint").alias("dwellings"), F.coalesce(F.round(F.col("v") / F.nullif(F.col("d"), F.lit(0))), F.lit(0.0)).cast("bigint").alias("value_per_dwelling"))
+
+
+@_query("""
+WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) term FROM documents),
+c AS (SELECT lang, term, CAST(count(*) AS BIGINT) n FROM t GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS INTEGER) rank FROM c)
+SELECT lang, term, n, rank FROM r WHERE rank <= 40""")
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 most frequent terms of each language, ties by term."""
+    words = _t(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
+    return A.top_k(words.groupBy("lang", "term").agg(F.count("*").alias("n")), ["lang"], [F.desc("n"), F.col("term")], 40)
+
+
+_PERSON = "split_part(p_name, ' ', 1) surname, '' given, CASE p_partkey % 6 WHEN 0 THEN 'grocer and dealer' WHEN 1 THEN 'barber' WHEN 2 THEN 'works at smith''s store' WHEN 3 THEN 'laborer' WHEN 4 THEN 'oyster house' ELSE '' END occupation"
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    occ = F.when(k == 0, "grocer and dealer").when(k == 1, "barber").when(k == 2, "works at smith's store").when(k == 3, "laborer").when(k == 4, "oyster house").otherwise("")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.get(F.split("p_name", " "), 0).alias("surname"), F.lit("").alias("given"), occ.alias("occupation"))
+
+
+@_query(f"""
+WITH p AS (SELECT p_partkey, {_PERSON} FROM part)
+SELECT p_partkey, CASE WHEN occupation <> '' AND NOT regexp_matches(occupation, '\\b(in|at|for)\\s+\\w+(''s)?\\s+(store|shop|house)\\b') AND regexp_matches(occupation, 'grocer|oyster (dealer|house)|barber') THEN 'business' ELSE 'resident' END category,
+ CASE WHEN occupation IN ('grocer and dealer', 'oyster house') THEN 'food' WHEN occupation = 'barber' THEN 'service' ELSE '' END subtype FROM p""")
+def classify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _people(spark, sf_dir).withColumn("c", names.record_class(F.col("surname"), F.col("given"), F.col("occupation")))
+    return rows.select("p_partkey", "c.category", "c.subtype")
+
+
+@_query("""
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'apache license|mit license|cc by|gnu general') THEN 'licensed' WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'contact'
+ WHEN regexp_matches(text, '\\|[^\\n]*\\|') THEN 'table' ELSE 'prose' END kind FROM documents""")
+def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered rules, the first that matches."""
+    text = F.col("text")
+    kind = F.when(F.lower(text).rlike("apache license|mit license|cc by|gnu general"), "licensed").when(text.rlike("[A-Za-z0-9._]+@[A-Za-z0-9.]+"), "contact").when(text.rlike(r"\|[^\n]*\|"), "table").otherwise("prose")
+    return _t(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
+
+
+_STREET = "CASE c_custkey % 5 WHEN 0 THEN n_name || ' (N.)' WHEN 1 THEN 's ' || n_name || ' al' WHEN 2 THEN 'L. ' || n_name WHEN 3 THEN 'N ' || n_name || ' ST' ELSE n_name || ', (W)' END"
+
+
+def _streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey") % 5, F.col("n_name")
+    raw = F.when(k == 0, F.concat(n, F.lit(" (N.)"))).when(k == 1, F.concat(F.lit("s "), n, F.lit(" al"))).when(k == 2, F.concat(F.lit("L. "), n)).when(k == 3, F.concat(F.lit("N "), n, F.lit(" ST"))).otherwise(F.concat(n, F.lit(", (W)")))
+    rows = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", "n_name", raw.alias("raw"))
+
+
+@_query("""
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 2 THEN 'LITTLE ' ELSE '' END || regexp_replace(upper(n_name), '[^A-Z0-9'' ]', ' ', 'g') core, CASE c_custkey % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN '' WHEN 3 THEN 'N' ELSE 'W' END dir
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def street_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streets(spark, sf_dir).select("c_custkey", names.street_key(F.col("raw")).alias("k")).select("c_custkey", "k.core", "k.dir")
+
+
+@_query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'numbered' WHEN 1 THEN 'relative' WHEN 2 THEN 'street_only' ELSE 'relative' END addr_type, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN '12' ELSE '' END house_no,
+ n_name || ' st' street, CASE c_custkey % 4 WHEN 1 THEN 's' WHEN 3 THEN 'w' ELSE '' END bearing, CASE c_custkey % 4 WHEN 1 THEN 'Fleet' WHEN 3 THEN 'Pearl' ELSE '' END cross_street, CASE WHEN c_custkey % 4 = 2 THEN 'e' ELSE '' END side
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def address_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, st = F.col("c_custkey") % 4, F.concat("n_name", F.lit(" st"))
+    raw = F.when(k == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(" "), st)).when(k == 1, F.concat(st, F.lit(" s of Fleet."))).when(k == 2, F.concat(F.lit("e. side "), st, F.lit(","))).otherwise(F.concat(F.lit("12 "), st, F.lit(" w oi Pearl")))
+    return _streets(spark, sf_dir).select("c_custkey", addresses.address(raw).alias("a")).select("c_custkey", "a.*")
+
+
+@_query("""
+WITH l AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10)),
+ lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '') lines FROM pages)
+SELECT page_id, CAST(len(lines) AS BIGINT) n_lines, CAST(list_sum(list_transform(lines, lambda x: length(x))) AS BIGINT) n_chars, lines[1] first_line FROM l""")
+def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.array(readers.html_lines(F.col("html")))).alias("lines"))
+    return rows.select("page_id", F.size("lines").cast("bigint").alias("n_lines"), F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).cast("bigint").alias("n_chars"), F.get("lines", F.lit(0)).alias("first_line"))
+
+
+@_query("""
+WITH s AS (SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END f FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn) run FROM s)
+SELECT conv_id, CAST(run AS BIGINT) run, role, CAST(count(*) AS BIGINT) turns, CAST(sum(length(text)) AS BIGINT) chars FROM g GROUP BY 1, 2, 3""")
+def line_join_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of turns of one role."""
+    rows = _t(spark, sf_dir, "conversations")
+    starts = ~F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).eqNullSafe(F.col("role"))
+    return folds.runs(rows.withColumn("_f", starts), ["conv_id"], ["turn"], F.col("_f")).groupBy("conv_id", "run", "role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+@_query("""
+WITH m AS (SELECT *, min(ts) FILTER (event_type = 'purchase') OVER w a, max(ts) FILTER (event_type = 'purchase') OVER w z FROM events WINDOW w AS (PARTITION BY user_id))
+SELECT user_id, CAST(count(*) AS BIGINT) n, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) errors FROM m WHERE ts >= a AND ts <= z GROUP BY 1""")
+def section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = folds.between_markers(_t(spark, sf_dir, "events"), ["user_id"], "ts", F.col("event_type") == "purchase")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@_query("""
+WITH r AS (SELECT user_id, epoch_us(ts) // 1000000 s, min(value) v FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT *, lead(s) OVER w s2, lead(v) OVER w v2 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+q AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000000 s FROM events WHERE event_type = 'error')
+, m AS (SELECT q.user_id, q.s probe, round(v + (v2 - v) * (q.s - p.s) / (p.s2 - p.s), 4) interpolated, row_number() OVER (PARTITION BY q.user_id, q.s ORDER BY p.s) rn FROM q JOIN p ON q.user_id = p.user_id AND p.s <= q.s AND q.s <= s2)
+SELECT user_id, CAST(probe AS BIGINT) probe, interpolated FROM m WHERE rn = 1""")
+def bracket_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    rungs = events.filter("event_type = 'view'").groupBy("user_id", "s").agg(F.min("value").alias("v"))
+    probes = events.filter("event_type = 'error'").select("user_id", F.col("s").alias("probe")).distinct()
+    return joins.bracket(rungs, probes, "user_id", "s", "v", "probe").select("user_id", "probe", F.round("interpolated", 4).alias("interpolated"))
+
+
+@_query("""
+SELECT event_id, user_id, (SELECT min(epoch_us(b.ts)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'error' AND epoch_us(b.ts) > epoch_us(a.ts)) next_error FROM events a WHERE event_type = 'purchase'""")
+def asof_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next error strictly after each purchase of a user."""
+    events = _t(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "us")
+    right = events.filter("event_type = 'error'").select("user_id", F.col("us").alias("next_error"))
+    return joins.next_after(left, right, "user_id", "us", "next_error").drop("us")
+
+
+@_query()
+def monotone_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a customer's orders kept in the direction that most steps take; a fold that SQL has no plain form for."""
+    orders = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("o"))
+    kept = folds.monotone(F.transform("o", lambda x: x["o_totalprice"]))
+    return orders.select("o_custkey", F.size("o").alias("n"), F.size(kept).alias("kept"), F.round(F.element_at(kept, -1), 2).alias("last"))
+
+
+@_query("SELECT c_nationkey, c_mktsegment, c_custkey, round(c_acctbal, 2) c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) rn FROM customer) WHERE rn = 1")
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joins.first_wins(_t(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], ["c_custkey"])
+    return rows.select("c_nationkey", "c_mktsegment", "c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@_query("SELECT user_id, event_type, event_id, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn = 1")
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.last_wins(_t(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", F.round("value", 4).alias("value"))
+
+
+@_query("SELECT DISTINCT p_brand AS old, p_type AS new FROM part p WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size <= 10 AND q.p_brand = p.p_brand AND q.p_type = p.p_type)")
+def alias_append_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("old"), F.col("p_type").alias("new"), "p_size")
+    return joins.append_new(pairs.filter("p_size <= 10"), pairs.filter("p_size > 25").drop("p_size"), ["old", "new"])
+
+
+@_query("""
+WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS entry FROM part), p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN 'was ' || split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || 'x' END probe, split_part(p_name, ' ', 1) f FROM part),
+n AS (SELECT DISTINCT probe FROM p WHERE p_partkey % 3 = 2), d AS (SELECT probe, entry, levenshtein(probe, entry) dist FROM n JOIN w ON substr(probe, 1, 1) = substr(entry, 1, 1) WHERE levenshtein(probe, entry) <= 2), b AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY dist, entry) rn FROM d)
+SELECT p.p_partkey, p.probe, CASE WHEN p.p_partkey % 3 < 2 THEN f ELSE b.entry END resolved, CASE p.p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' ELSE CASE WHEN b.entry IS NOT NULL THEN 'fuzzy' END END how FROM p LEFT JOIN b ON b.probe = p.probe AND rn = 1""")
+def cascade_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    first = F.get(F.split("p_name", " "), 0)
+    k = F.col("p_partkey") % 3
+    probes = part.select("p_partkey", F.when(k == 0, first).when(k == 1, F.concat(F.lit("was "), first)).otherwise(F.concat(first, F.lit("x"))).alias("probe"))
+    lexicon = part.select(F.explode(F.split("p_name", " ")).alias("entry"))
+    aliases = part.select(F.concat(F.lit("was "), first).alias("old"), first.alias("new")).distinct()
+    return joins.cascade(probes, "probe", lexicon, "entry", aliases, "old", "new", 2)
+
+
+@_query("""
+SELECT CAST(count(*) AS BIGINT) n, CAST(count(*) FILTER (quality = toxic) AS BIGINT) agree, CAST(count(*) FILTER (quality <> toxic) AS BIGINT) disagree, CAST(count(*) FILTER (quality IS NULL OR toxic IS NULL) AS BIGINT) unknown FROM documents LEFT JOIN labels USING (doc_id)""")
+def links_agree_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.col("quality") == F.col("toxic")
+    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left").agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree"), F.count_if(same.isNull()).alias("unknown"))
+
+
+@_query("SELECT quality, CAST(count(*) AS BIGINT) n, CAST(count(*) FILTER (toxic = 1) AS BIGINT) found FROM labels GROUP BY ROLLUP (quality)")
+def tier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "labels").rollup("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("found"))
+
+
+@_query("""
+WITH s AS (SELECT count(*)::DOUBLE n, sum(l_quantity) x, sum(l_extendedprice) y, sum(l_quantity * l_quantity) xx, sum(l_quantity * l_extendedprice) xy, sum(l_extendedprice * l_extendedprice) yy FROM lineitem), c AS (SELECT *, (n * xy - x * y) / (n * xx - x * x) b FROM s), d AS (SELECT *, (y - b * x) / n a FROM c)
+SELECT round(a, 2) intercept, round(b, 2) slope, round(sqrt((yy - a * y - b * xy) / n), 2) rmse FROM d""")
+def affine_fit_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (a, b), rmse = statistics.least_squares(_t(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([(round(a, 2), round(b, 2), round(rmse, 2))], "intercept double, slope double, rmse double")
+
+
+@_query("""
+WITH b AS (SELECT min(c_acctbal) x0, max(c_acctbal) x1, min(c_custkey) y0, max(c_custkey) y1 FROM customer)
+SELECT c_custkey, round((c_acctbal - x0) * (1000.0 / (x1 - x0)), 1) sx, round((y1 - c_custkey) * (1000.0 / (x1 - x0)), 1) sy FROM customer, b""")
+def screen_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer")
+    box = rows.agg(F.min("c_acctbal").alias("x0"), F.max("c_acctbal").alias("x1"), F.max("c_custkey").alias("y1"))
+    at = geometry.to_screen(F.col("c_acctbal"), F.col("c_custkey"), F.col("x0"), F.lit(0), F.col("y1"), F.lit(1000.0) / (F.col("x1") - F.col("x0")))
+    return rows.crossJoin(F.broadcast(box)).select("c_custkey", at.alias("p")).select("c_custkey", "p.sx", "p.sy")
+
+
+@_query("""
+WITH p AS (SELECT s_suppkey, s_acctbal x, s_suppkey * 10.0 y FROM supplier), g AS (SELECT i, j, i * 2000.0 x0, j * 200.0 y0, (i + 1) * 2000.0 x1, (j + 1) * 200.0 y1 FROM range(-1, 5) a(i), range(0, 50) b(j))
+SELECT s_suppkey, CAST(i AS BIGINT) i, CAST(j AS BIGINT) j FROM p JOIN g ON x >= x0 AND x < x1 AND y >= y0 AND y < y1""")
+def point_in_box_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 10.0).alias("y"))
+    i = spark.range(-1, 5).withColumnRenamed("id", "i")
+    boxes = i.select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(49).cast("bigint"))).alias("j"))
+    boxes = boxes.select("i", "j", (F.col("i") * 2000.0).alias("x0"), (F.col("j") * 200.0).alias("y0"), ((F.col("i") + 1) * 2000.0).alias("x1"), ((F.col("j") + 1) * 200.0).alias("y1"))
+    return joins.in_boxes(points, boxes, "x", "y", 1000.0).select("s_suppkey", "i", "j")
+
+
+@_query("SELECT p_brand, CAST(count(*) AS BIGINT) n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) GROUP BY 1")
+def unmatched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = _t(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return _t(spark, sf_dir, "part").join(used, "p_partkey", "left_anti").groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT lang, CAST(count(*) AS BIGINT) parsed, CAST(count(l.doc_id) AS BIGINT) placed, round(count(l.doc_id) * 100.0 / nullif(count(*), 0), 2) pct FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _t(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l"))
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang").join(known, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("parsed"), F.count("l").alias("placed"), A.pct(F.count("l"), F.count("*")).alias("pct"))
+
+
+@_query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name || ' ' || r_name), 'a')")
+def category_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose rendered text holds the letters searched for."""
+    rows = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.filter(F.lower(F.concat_ws(" ", "n_name", "r_name")).contains("a")).select("n_nationkey", "n_name", "r_name")
