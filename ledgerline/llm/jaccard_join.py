@@ -13,6 +13,7 @@ inside one component cannot change the components, and no other pair is left out
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,7 @@ _U = np.uint64
 #: Buckets of the frequency sketch: its size does not depend on the input.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 #: Longest multi-match requirement, and the cost of verifying a candidate against probing a posting.
-MOST_MATCHES, VERIFY_COST = 4, 4.0
-#: Rounds against central nodes before the exact step over what is left.
-HUB_ROUNDS = 1
+MOST_MATCHES, VERIFY_COST = 64, 4.0
 #: Verified pairs a task may gather in one Arrow batch.
 SMALL_BATCH = 512
 
@@ -71,11 +70,14 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def choose_matches(weight: np.ndarray, n: int, need: int) -> int:
-    """The number of shared prefix shingles to ask for: the cheapest by postings probed plus candidates verified."""
-    free, most = n - need, min(MOST_MATCHES, need)
-    probed = np.cumsum(weight[: free + most])[free:]
-    matches = np.arange(1, most + 1)
-    return int(np.argmin(probed + VERIFY_COST * probed / matches)) + 1
+    """The number of shared prefix shingles to ask for: the cheapest by postings probed plus candidates verified.
+
+    At least the root of n, so that no set with few shared shingles in its prefix can be a candidate of any other.
+    """
+    free, least = n - need, isqrt(n)
+    most = max(least, min(MOST_MATCHES, need))
+    probed = np.cumsum(weight[: free + most])[free + least - 1 :]
+    return int(np.argmin(probed + VERIFY_COST * probed / np.arange(least, most + 1))) + least
 
 
 def _signatures(k: int, percent: int, sketch):
@@ -93,8 +95,7 @@ def _signatures(k: int, percent: int, sketch):
                     for c in ("node", "sig", "matches", "prefix"):
                         out[c].append(None)
                     continue
-                node = int(np.add.reduce(mix64(s ^ _U(0xA0761D6478BD642F))).astype(np.int64))
-                sig = int(np.add.reduce(mix64(s ^ _U(0xE7037ED1A0B428DB))).astype(np.int64))
+                node, sig = _node(s)
                 out["node"].append(node)
                 out["sig"].append(sig)
                 if (node, sig) in seen:  # one prefix of each set and task: copies add no postings
@@ -116,12 +117,32 @@ def _signatures(k: int, percent: int, sketch):
     return run, "doc_id bigint, n bigint, node bigint, sig bigint, matches int, prefix array<bigint>"
 
 
-def _sets(k: int):
+def _node(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set; the first names its node."""
+    return tuple(int(np.add.reduce(mix64(s ^ _U(salt))).astype(np.int64)) for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
+
+def _fetch(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, items) of the nodes(node, rep), made anew from the texts of their documents."""
+    wanted = bounded(nodes.select("node", F.col("rep").alias("doc_id")))
+
     def run(batches):
         for ids, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingles(t, k).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["node", "items"])
+            found = [shingles(t, k) for t in texts]
+            same = [i for i, (s, node) in enumerate(zip(found, ids.to_pylist(), strict=True)) if len(s) and _node(s)[0] == node]  # a doc_id may have other rows
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(same, pa.int64())), pa.array([found[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["node", "items"])
+
+    return cut(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, items array<bigint>"))
+
+
+def _fewest(percent: int):
+    """Prefix shingles that a node shares at least with any partner: the root of the smallest size a partner can have."""
+    return F.floor(F.sqrt(F.ceil(F.lit(percent) * F.col("n") / F.lit(100))))
 
-    return run, "node bigint, items array<bigint>"
+
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """The postings of nodes that hold enough of them."""
+    return rows.withColumn("_c", F.count("*").over(Window.partitionBy("node"))).filter(F.col("_c") >= _fewest(percent)).drop("_c")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,50 +169,45 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
 
     posted = signed.filter("prefix is not null").select(F.explode("prefix").alias("token"), "node", "n", "matches")
     posted = posted.repartition(F.col("token")).groupBy("token", "node").agg(F.min("n").alias("n"), F.min("matches").alias("matches"))
-    shared = cut(posted.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1").drop("df"))
-
-    label = None
-    scores = shared.groupBy("node").agg(F.count("*").alias("score"))
-    wanted = cut(scores.join(nodes, "node").select("node", "rep", "score"))
-    ids = bounded(wanted.select(F.col("node"), F.col("rep").alias("doc_id")))
-    fetch, kind = _sets(k)
-    sets = cut(docs.join(ids, "doc_id").dropDuplicates(["node"]).select("node", "text").mapInArrow(fetch, kind))
+    met = Window.partitionBy("token")
+    shared = cut(posted.withColumn("df", F.count("*").over(met)).filter("df > 1").drop("df"))
+    shared = cut(_able(shared, percent).withColumn("df", F.count("*").over(met)).filter("df > 1").drop("df"))
+    reps = nodes.groupBy("node").agg(F.min("rep").alias("rep"))
 
+    # Every node against the most central one that it shares most with.
     edges = spark.createDataFrame([], "a bigint, b bigint")
-    done = edges
-    for turn in range(HUB_ROUNDS):
-        rows = shared.join(wanted.select("node", "score"), "node")
-        rows = rows.withColumn("comp", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rank = F.col("score") if turn != 1 else F.xxhash64("node", F.lit(turn))
-        hubs = rows.groupBy("token").agg(F.max(F.struct(rank.alias("r"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        near = rows.join(hubs.select("token", "h.hub", "h.hub_comp"), "token").filter("comp <> hub_comp")
-        near = near.groupBy("node", "hub").agg(F.count("*").alias("c"))
-        best = near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
-        pairs = cut(best.join(done, ["a", "b"], "left_anti"))
-        found = cut(_verified(pairs, sets, percent))
-        if not found.limit(1).count():
-            break
-        done = cut(done.union(pairs))
-        edges = cut(edges.union(found))
+    label = None
+    scored = shared.withColumn("score", F.count("*").over(Window.partitionBy("node")))
+    hubs = scored.groupBy("token").agg(F.max(F.struct("score", "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
+    near = shared.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.min("n").alias("n")).filter(F.col("c") >= _fewest(percent))
+    pairs = cut(near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b")))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = cut(_verified(pairs, _fetch(docs, reps.join(ends, "node"), k), percent))
+    if found.limit(1).count():
+        edges = found
         label = components(edges)
 
+    # What is left: pairs of different components that share enough prefix shingles.
     rows = shared.withColumn("comp", F.col("node")) if label is None else shared.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = cut(rows.join(spread, "token"))
-    # A shingle that no other of these nodes holds is in no overlap of theirs: what is left bounds each node's overlaps.
-    alone = sets.join(rows.select("node").distinct(), "node").select(F.explode("items").alias("token"), "node")
-    alone = alone.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
-    rows = rows.join(cut(alone), "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
-    rows = cut(rows.select("token", "node", "comp", "n", "matches", "most"))
-    x, y = rows.alias("x"), rows.alias("y")
-    enough = F.lit(100 + percent) * F.least("x.most", "y.most", "x.n", "y.n") >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & enough)
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("m")).filter("c >= m")
-    seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = cut(_verified(pairs.join(seen, ["a", "b"], "left_anti"), sets, percent))
-    if found.limit(1).count():
-        edges = cut(edges.union(found))
-        label = components(edges)
+    for _ in range(2):
+        spread = rows.withColumn("lo", F.min("comp").over(met)).withColumn("hi", F.max("comp").over(met)).filter("lo <> hi").drop("lo", "hi")
+        rows = cut(_able(spread, percent))
+    if rows.limit(1).count():
+        # A shingle that no other of these nodes holds is in no overlap of theirs: what is left bounds each node's overlaps.
+        sets = _fetch(docs, reps.join(rows.select("node").distinct(), "node"), k)
+        alone = sets.select(F.explode("items").alias("token"), "node")
+        alone = alone.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+        rows = rows.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
+        rows = cut(rows.select("token", "node", "comp", "n", "matches", "most"))
+        x, y = rows.alias("x"), rows.alias("y")
+        enough = F.lit(100 + percent) * F.least("x.most", "y.most", "x.n", "y.n") >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+        more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & enough)
+        more = more.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("m")).filter("c >= m")
+        seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = cut(_verified(more.join(seen, ["a", "b"], "left_anti"), sets, percent))
+        if found.limit(1).count():
+            edges = cut(edges.union(found))
+            label = components(edges)
 
     if label is None:
         named = nodes.select("node", "sig", F.col("rep").alias("component_id"))
