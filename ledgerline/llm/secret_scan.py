@@ -94,14 +94,15 @@ def find_spans(rows: DataFrame, rate: float = 0.01, random_p: float = 1e-3) -> D
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,len:int,size:int,token:string>>")
     parts = [_matches(text, k, LONG.get(k, p), g, QUICK[k]) for k, p, g, _ in BASE] + [_matches(text, "random", TOKEN, 0, TOKEN)]
     found = rows.select("rid", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("x")).select("rid", "x.*")
-    found = cut(found)
+    # Tokens are tested where their text is read, before any exchange could gather these few rows in one task.
+    found = cut(found.withColumn("b", F.when(F.col("kind") == "random", battery(F.col("token")))).select("rid", "kind", "i", "gap", "len", "size", "b.uniform_p", "b.ordinary"))
     upto = Window.partitionBy("rid", "kind").orderBy("i")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, _, _, n in BASE])
     base = placed.filter(F.col("kind") != "random").filter(F.col("size") >= least).select("rid", "kind", "start", "end")
-    tested = cut(placed.filter(F.col("kind") == "random").withColumn("b", battery(F.col("token"))).select("rid", "kind", "start", "end", "b.uniform_p", F.least(F.lit(BINS), F.floor(F.col("b.ordinary") * BIN)).cast("int").alias("bin")))
-    limit = discovery_limit({r["bin"]: r["count"] for r in tested.groupBy("bin").count().collect()}, rate)
-    tested = tested.filter((F.col("bin") >= limit) & (F.col("uniform_p") >= random_p)).select("rid", "kind", "start", "end")
+    in_bin = F.least(F.lit(BINS), F.floor(F.col("ordinary") * BIN)).cast("int").alias("bin")
+    limit = discovery_limit({r["bin"]: r["count"] for r in found.filter("kind = 'random'").groupBy(in_bin).count().collect()}, rate)
+    tested = placed.filter("kind = 'random'").withColumn("bin", in_bin).filter((F.col("bin") >= limit) & (F.col("uniform_p") >= random_p)).select("rid", "kind", "start", "end")
     both = base.unionByName(tested)
     # A random token that overlaps a base span says nothing new: the furthest base end before its own is past its start.
     seen = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
