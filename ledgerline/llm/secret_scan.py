@@ -95,7 +95,7 @@ def find_spans(rows: DataFrame, rate: float = 0.01, random_p: float = 1e-3) -> D
     parts = [_matches(text, k, LONG.get(k, p), g, QUICK[k]) for k, p, g, _ in BASE] + [_matches(text, "random", TOKEN, 0, TOKEN)]
     found = rows.select("rid", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("x")).select("rid", "x.*")
     # Tokens are tested where their text is read, before any exchange could gather these few rows in one task.
-    found = cut(found.withColumn("b", F.when(F.col("kind") == "random", battery(F.col("token")))).select("rid", "kind", "i", "gap", "len", "size", "b.uniform_p", "b.ordinary"))
+    found = cut(found.withColumn("b", battery(F.col("token"))).select("rid", "kind", "i", "gap", "len", "size", "b.uniform_p", "b.ordinary"))
     upto = Window.partitionBy("rid", "kind").orderBy("i")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, _, _, n in BASE])
