@@ -28,6 +28,8 @@ _U = np.uint64
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 #: Longest multi-match requirement, and the cost of verifying a candidate against probing a posting.
 MOST_MATCHES, VERIFY_COST = 64, 4.0
+#: 64-bit words of the parities that bound the overlap of two sets.
+PARITY_WORDS = 4
 #: Verified pairs a task may gather in one Arrow batch.
 SMALL_BATCH = 512
 
@@ -122,17 +124,44 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.add.reduce(mix64(s ^ _U(salt))).astype(np.int64)) for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit: two sets differ in as many shingles at least as their parities in bits."""
+    odd = np.bincount((s & _U(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _fetch(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, items) of the nodes(node, rep), made anew from the texts of their documents."""
+    """(node, items, bits) of the nodes(node, rep), made anew from the texts of their documents; bits is the parity."""
     wanted = bounded(nodes.select("node", F.col("rep").alias("doc_id")))
 
     def run(batches):
         for ids, texts in _texts(batches):
             found = [shingles(t, k) for t in texts]
             same = [i for i, (s, node) in enumerate(zip(found, ids.to_pylist(), strict=True)) if len(s) and _node(s)[0] == node]  # a doc_id may have other rows
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(same, pa.int64())), pa.array([found[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["node", "items"])
+            items = pa.array([found[i].view(np.int64) for i in same], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(same, pa.int64())), items, pa.array([parity(found[i]) for i in same], pa.list_(pa.int64()))], names=["node", "items", "bits"])
+
+    return cut(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, items array<bigint>, bits array<bigint>"))
+
+
+def _bounds(sets: DataFrame) -> DataFrame:
+    """(node, own, p0, p1, ...): shingles that no other of these sets holds, and the parity of the rest."""
+    words = range(PARITY_WORDS)
+    word = F.shiftright(F.col("token").bitwiseAND(F.lit(64 * PARITY_WORDS - 1)), 6)
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    alone = sets.select(F.explode("items").alias("token"), "node").groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("own"), *[F.bit_xor(F.when(word == i, bit)).alias(f"q{i}") for i in words])
+    every = sets.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in words]).dropDuplicates(["node"])
+    return every.join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"), *[F.col(f"p{i}").bitwiseXOR(F.coalesce(f"q{i}", F.lit(0))).alias(f"p{i}") for i in words])
+
 
-    return cut(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, items array<bigint>"))
+def _can_link(percent: int):
+    """Whether the overlap of rows x and y can reach the threshold: it is at most what either holds besides its own
+    shingles, and half of what is left of both sums after as many as their parities differ in."""
+    differ = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    least = F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+    shorter = F.lit(100 + percent) * F.least("x.most", "y.most", "x.n", "y.n") >= least
+    return shorter & (F.lit(100 + percent) * (F.col("x.most") + F.col("y.most") - differ) >= F.lit(2) * least)
 
 
 def _fewest(percent: int):
@@ -195,13 +224,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     if rows.limit(1).count():
         # A shingle that no other of these nodes holds is in no overlap of theirs: what is left bounds each node's overlaps.
         sets = _fetch(docs, reps.join(rows.select("node").distinct(), "node"), k)
-        alone = sets.select(F.explode("items").alias("token"), "node")
-        alone = alone.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
-        rows = rows.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
-        rows = cut(rows.select("token", "node", "comp", "n", "matches", "most"))
+        rows = rows.join(_bounds(sets), "node").withColumn("most", F.col("n") - F.col("own")).filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
+        rows = cut(rows.select("token", "node", "comp", "n", "matches", "most", *[f"p{i}" for i in range(PARITY_WORDS)]))
         x, y = rows.alias("x"), rows.alias("y")
-        enough = F.lit(100 + percent) * F.least("x.most", "y.most", "x.n", "y.n") >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
-        more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & enough)
+        more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _can_link(percent))
         more = more.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("m")).filter("c >= m")
         seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = cut(_verified(more.join(seen, ["a", "b"], "left_anti"), sets, percent))

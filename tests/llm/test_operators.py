@@ -62,6 +62,25 @@ def test_jaccard_join_against_brute_force(spark):
     assert jaccard_join.jaccard_components(frame(spark, []).limit(0)).count() == 0
 
 
+def test_jaccard_join_of_many_near_copies(spark):
+    base, rng, texts = words(80, 21), np.random.default_rng(22), []
+    for i in range(160):
+        w = list(base)
+        for at in rng.integers(0, 80, 1 + i % 6):
+            w[at] = f"y{rng.integers(0, 9)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(23)
+    for n in (3, 60, 2000):
+        a, b = (np.unique(rng.integers(0, 3 * n, n, dtype=np.uint64)) for _ in range(2))
+        apart = sum(int(x).bit_count() for x in (jaccard_join.parity(a) ^ jaccard_join.parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 37)), ["a", "b", None, "ä"][i % 4], 0, "x") for i in range(400)] + [(999, None, "a", 0, "x")]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string, n bigint, size string")).collect()
