@@ -38,3 +38,34 @@ def address(raw: Column) -> Column:
         F.when(is_relative, _bare(F.regexp_extract(a, relative, 3))).otherwise(blank).alias("cross_street"),
         side.alias("side"),
     )
+
+
+def entry(line: Column) -> Column:
+    """struct(surname, given, occupation, dwelling_raw, addr_raw) of a directory's line; null where it has no comma.
+
+    A clause "dw" names the home, which is then the address. Else the last part is, unless only the parts before it open
+    with a number.
+    """
+    parts = F.transform(F.split(F.regexp_replace(line, r"^f\s*", ""), ",", -1), lambda p: F.trim(p))
+    head, named = F.get(parts, 0), r"^([A-Z][A-Za-z'’\-]+)\s+(.*)$"
+    given = F.regexp_extract(head, named, 2)
+    split_head = head.rlike(named)
+    surname = F.when(split_head, F.regexp_extract(head, named, 1)).otherwise(head)
+    later = given == ""
+    rest = F.array_join(F.slice(parts, F.when(later, 3).otherwise(2), F.size(parts)), ", ")
+    home = r"(?i)\bdw\.?\s*(.*)$"
+    dwelling = _bare(F.regexp_extract(rest, home, 1))
+    work = F.when(rest.rlike(home), _bare(F.regexp_replace(rest, home, ""))).otherwise(rest)
+    spaced = F.regexp_replace(work, r"\b([a-z]{3,})\.\s+(?=[A-Z])", "$1, ")
+    segments = F.filter(F.transform(F.split(spaced, ","), lambda p: F.trim(p)), lambda s: s != "")
+    last = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit(""))
+    before = F.array_join(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), ", ")
+    swap = before.rlike(r"^\d") & ~last.rlike(r"\d")
+    fields = F.struct(
+        surname.alias("surname"),
+        _bare(F.when(later, F.coalesce(F.get(parts, 1), F.lit(""))).otherwise(given)).alias("given"),
+        F.when(swap, last).otherwise(before).alias("occupation"),
+        dwelling.alias("dwelling_raw"),
+        F.when(dwelling != "", dwelling).when(swap, before).otherwise(last).alias("addr_raw"),
+    )
+    return F.when(F.size(parts) >= 2, fields)

@@ -62,3 +62,48 @@ def block_step(gap: Column) -> Column:
 def to_screen(x: Column, y: Column, x0: Column, y0: Column, y1: Column, scale: Column, pad: float = 0.0) -> Column:
     """struct(sx, sy) in screen units, y pointing down, one decimal."""
     return F.struct(F.round(F.lit(pad) + (x - x0) * scale, 1).alias("sx"), F.round(F.lit(pad) + (y1 - y) * scale, 1).alias("sy"))
+
+
+def segment_distance(p: Column, a: Column, b: Column) -> Column:
+    """How far point p is from segment a-b."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    return F.sqrt(F.pow(p["x"] - a["x"] - t * dx, 2) + F.pow(p["y"] - a["y"] - t * dy, 2))
+
+
+def distance_along(line: Column, x: Column, y: Column) -> Column:
+    """How far along a line its point nearest to (x, y) lies; the first such point of several."""
+    p = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    first = F.element_at(line, 1)
+    start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("at"), F.sqrt(F.pow(first["x"] - x, 2) + F.pow(first["y"] - y, 2)).cast("double").alias("off"), first["x"].cast("double").alias("px"), first["y"].cast("double").alias("py"))
+
+    def step(s: Column, q: Column) -> Column:
+        dx, dy = q["x"] - s["px"], q["y"] - s["py"]
+        length = F.sqrt(dx * dx + dy * dy)
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["px"]) * dx + (y - s["py"]) * dy) / F.nullif(length * length, F.lit(0.0)))), F.lit(0.0))
+        off = segment_distance(p, F.struct(s["px"].alias("x"), s["py"].alias("y")), q)
+        nearer = off < s["off"]
+        return F.struct(
+            (s["d"] + length).alias("d"),
+            F.when(nearer, s["d"] + t * length).otherwise(s["at"]).alias("at"),
+            F.when(nearer, off).otherwise(s["off"]).alias("off"),
+            q["x"].cast("double").alias("px"), q["y"].cast("double").alias("py"),
+        )
+
+    return F.aggregate(F.slice(line, 2, F.size(line)), start, step, lambda s: s["at"])
+
+
+def bearing_sign(line: Column, at: Column, length: Column, bearing: Column) -> Column:
+    """1 if a line runs towards the bearing (n, s, e, w) at a distance along it, -1 if not, 0 without a bearing."""
+    reach = F.least(F.lit(20.0), F.when(length > 0, length / 20).otherwise(F.lit(1.0)))
+    a, b = point_along(line, F.greatest(F.lit(0.0), at - reach)), point_along(line, F.least(length, at + reach))
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    way = F.substring(F.lower(F.coalesce(bearing, F.lit(""))), 1, 1)
+    toward = F.when(way == "n", dy).when(way == "s", -dy).when(way == "e", dx).when(way == "w", -dx)
+    return F.when(toward > 0, 1).when(toward.isNotNull(), -1).otherwise(0)
+
+
+def label_angle(dx: Column, dy: Column) -> Column:
+    """The angle of a direction, turned so that text along it is upright; four decimals."""
+    a = F.atan2(dy, dx)
+    return F.round(F.when(a > F.pi() / 2, a - F.pi()).when(a < -F.pi() / 2, a + F.pi()).otherwise(a), 4)

@@ -95,3 +95,32 @@ def record_class(surname: Column, given: Column, occupation: Column) -> Column:
 def person_key(year: Column, surname: Column, given: Column) -> Column:
     """year|surname|first given name, in lower case."""
     return F.concat_ws("|", year.cast("string"), F.lower(F.trim(surname)), F.lower(F.get(F.split(F.trim(given), r"\s+"), 0)))
+
+
+#: How an index of streets writes one name's relation to another, and ends that are no street's name.
+RELATION = r"(?i)^([^:]{2,60}):\s*(now part of|became part of|now|was|became|see)\s+([^,;]+?)\s*(?:\b(?:1[6-9]\d\d|20\d\d)\b|n\.d\.|$)"
+NO_TARGET = r"(?i)\b(?:street|streets|alley|alleys|and|from|between|to|the|city|part|of|no|not|never|opened|closed|vacated|condemned|widened|extended)\s*$"
+
+
+def alias_pairs(line: Column) -> Column:
+    """array of struct(old, new, relation), as keys of streets, that a line of an index states; empty if none.
+
+    "was" points backwards and "see" both ways. Names whose key is empty, or the same as the other's, are no pair.
+    """
+    text = F.trim(line)
+
+    def clean(raw: Column) -> Column:
+        bare = F.regexp_replace(F.trim(raw), "^[\"“”']+|[\"“”']+$", "")
+        return F.regexp_replace(squeezed(F.regexp_replace(bare, r"\s*\(.*?\)\s*", " ")), r"^[ .,:;]+|[ .,:;]+$", "")
+
+    a, b = clean(F.regexp_extract(text, RELATION, 1)), clean(F.regexp_extract(text, RELATION, 3))
+    relation = F.lower(F.regexp_extract(text, RELATION, 2))
+    keys = F.transform(F.array(a, b), lambda n: street_key(n)["core"])
+    x, y = F.get(keys, 0), F.get(keys, 1)
+
+    def pair(old: Column, new: Column) -> Column:
+        return F.struct(old.alias("old"), new.alias("new"), relation.alias("relation"))
+
+    stated = text.rlike(RELATION) & (a != "") & (F.length(b) >= 3) & ~b.rlike(NO_TARGET) & (x != "") & (y != "") & (x != y)
+    pairs = F.when(relation == "was", F.array(pair(y, x))).when(relation == "see", F.array(pair(x, y), pair(y, x))).otherwise(F.array(pair(x, y)))
+    return F.when(stated, pairs).otherwise(F.slice(pairs, 1, 0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import addresses, geometry, names
 from ledgerline.operators import aggregates as A
-from ledgerline.operators import folds, joins, statistics
+from ledgerline.operators import folds, fuzzy, joins, spatial, statistics
 from ledgerline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,3 +382,91 @@ def category_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose rendered text holds the letters searched for."""
     rows = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.filter(F.lower(F.concat_ws(" ", "n_name", "r_name")).contains("a")).select("n_nationkey", "n_name", "r_name")
+
+
+@_query("""
+WITH h AS (SELECT s_suppkey + 1000 AS key_b, CAST(s_suppkey % 50 * 10 AS DOUBLE) x0, s_suppkey % 50 * 10 + 95.0 x1, s_acctbal y FROM supplier), v AS (SELECT n_nationkey AS key_a, n_nationkey * 20 + 5.5 x FROM nation)
+SELECT CAST(key_a AS BIGINT) key_a, CAST(key_b AS BIGINT) key_b, CAST(x AS DOUBLE) x, round(y, 2) y FROM h JOIN v ON x BETWEEN x0 AND x1""")
+def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the nations' upright lines cross the suppliers' level ones."""
+    x = F.col("s_suppkey") % 50 * 10
+    level = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000).cast("bigint").alias("key"), F.array(_point(x, F.col("s_acctbal")), _point(x + 95, F.col("s_acctbal"))).alias("points"))
+    at = F.col("n_nationkey") * 20 + 5.5
+    upright = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.array(_point(at, F.lit(-2000)), _point(at, F.lit(12000))).alias("points"))
+    return spatial.crossings(level.unionByName(upright), "key", "points", 500.0).select("key_a", "key_b", "x", F.round("y", 2).alias("y"))
+
+
+def _point(x, y):
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of 10 by 10 metres in rows of 40, one a supplier."""
+    x, y = F.col("s_suppkey") % 40 * 10.5, F.floor(F.col("s_suppkey") / 40) * 10.25
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("key"), "s_acctbal", F.array(_point(x, y), _point(x + 10, y), _point(x + 10, y + 10), _point(x, y + 10)).alias("ring"))
+
+
+_BLOCKS_SQL = "WITH b AS (SELECT CAST(s_suppkey AS BIGINT) k, s_acctbal v, s_suppkey % 40 * 10.5::DOUBLE x, floor(s_suppkey / 40) * 10.25::DOUBLE y FROM supplier)"
+
+
+@_query(f"""
+{_BLOCKS_SQL}, d AS (SELECT p.k key_a, q.k key_b, greatest(0, abs(p.x - q.x) - 10) dx, greatest(0, abs(p.y - q.y) - 10) dy FROM b p JOIN b q ON p.k < q.k)
+SELECT key_a, key_b, round(sqrt(dx * dx + dy * dy), 4) distance FROM d WHERE sqrt(dx * dx + dy * dy) < 0.52""")
+def polygon_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks less than 0.52 m apart: the next of a row and that of the row above, not those across the corner."""
+    return spatial.adjacent(_blocks(spark, sf_dir), "key", "ring", 0.52, 25.0).select("key_a", "key_b", F.round("distance", 4).alias("distance"))
+
+
+@_query(f"""
+{_BLOCKS_SQL}, t AS (SELECT CAST(p_partkey AS BIGINT) ward, p_partkey % 20 * 23.0 x, floor(p_partkey / 20) * 21.0 y FROM part), o AS (SELECT ward, v, greatest(0, least(b.x + 10, t.x + 23) - greatest(b.x, t.x)) * greatest(0, least(b.y + 10, t.y + 21) - greatest(b.y, t.y)) a FROM b JOIN t ON b.x < t.x + 23 AND t.x < b.x + 10 AND b.y < t.y + 21 AND t.y < b.y + 10)
+SELECT ward, round(sum(v * a / 100), 2) balance FROM o GROUP BY 1""")
+def areal_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' balances, spread evenly over their blocks, by the wards that the blocks overlap."""
+    x, y = F.col("p_partkey") % 20 * 23.0, F.floor(F.col("p_partkey") / 20) * 21.0
+    wards = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("ward"), F.array(_point(x, y), _point(x + 23, y), _point(x + 23, y + 21), _point(x, y + 21)).alias("ring"))
+    return spatial.areal_interpolate(_blocks(spark, sf_dir), "ring", ["s_acctbal"], wards, "ward", "ring", 40.0).select("ward", F.round("s_acctbal", 2).alias("balance"))
+
+
+@_query("""
+WITH p AS (SELECT c_custkey, c_nationkey n, c_custkey % 10 k, CASE c_custkey % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'w' ELSE '' END b FROM customer),
+d AS (SELECT *, k * 100.0 + n AS d, CASE b WHEN 'e' THEN CASE WHEN k < 9 THEN 40.0 ELSE 12.0 END WHEN 'w' THEN CASE WHEN k > 0 THEN -40.0 ELSE -12.0 END ELSE 0.0 END s FROM p)
+SELECT c_custkey, CAST(round(greatest(0.0, least(1000.0, d + s)), 4) AS DOUBLE) x, CAST(n * 100 + 7 AS DOUBLE) y, CASE WHEN b = '' THEN 'corner' ELSE 'block_face' END tier FROM d""")
+def block_face_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers on level streets, one a nation, with ten crossings each: north side, towards east or west."""
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("street"), (F.col("c_custkey") % 10).cast("int").alias("cross"), F.when(F.col("c_custkey") % 3 == 0, "e").when(F.col("c_custkey") % 3 == 1, "w").otherwise("").alias("bearing"), F.lit("n").alias("side"))
+    streets = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("street"), F.array(_point(F.lit(0), F.col("n_nationkey") * 100), _point(F.lit(1000), F.col("n_nationkey") * 100)).alias("line"))
+    meets = streets.select("street", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cross")).withColumn("at", F.col("cross") * 100.0 + F.col("street"))
+    placed = spatial.place_on_blocks(people, "street", "cross", "bearing", "side", streets, "line", meets, "at")
+    return placed.select("c_custkey", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "tier")
+
+
+@_query("""
+WITH w AS (SELECT p_partkey, p_partkey % 3 k, upper(split_part(p_name, ' ', 1)) a, upper(split_part(p_name, ' ', 2)) b FROM part), s AS (SELECT * FROM w WHERE a <> b AND length(a) > 2 AND length(b) > 2)
+SELECT p_partkey, a AS old, b AS new, 'now' AS relation FROM s WHERE k = 0 UNION ALL SELECT p_partkey, b, a, 'was' FROM s WHERE k = 1 UNION ALL SELECT p_partkey, a, b, 'see' FROM s WHERE k = 2 UNION ALL SELECT p_partkey, b, a, 'see' FROM s WHERE k = 2""")
+def alias_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of old and new names that lines of an index state."""
+    k, words = F.col("p_partkey") % 3, F.split("p_name", " ")
+    relation = F.when(k == 0, ": now ").when(k == 1, ": was ").otherwise(": see ")
+    line = F.concat(F.get(words, 0), F.lit(" Alley (old)"), relation, F.get(words, 1), F.when(k == 0, " 1850 and later").otherwise(""))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(names.alias_pairs(line)).alias("p")).select("p_partkey", "p.old", "p.new", "p.relation")
+
+
+@_query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN 'Madden' ELSE 'Adams' END surname, CASE c_custkey % 3 WHEN 2 THEN 'John' ELSE 'Dennis' END given, 'labourer' occupation, CASE c_custkey % 3 WHEN 2 THEN c_custkey || ' Montgomery' ELSE '' END dwelling_raw,
+CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' Temple' WHEN 1 THEN 'Pierce st w of Pearl' ELSE c_custkey || ' Montgomery' END addr_raw, CASE c_custkey % 3 WHEN 1 THEN 'relative' ELSE 'numbered' END addr_type FROM customer""")
+def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a directory parsed to people and the kind of their address."""
+    k, n = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    line = F.when(k == 0, F.concat(F.lit("Adams Dennis, labourer, "), n, F.lit(" Temple"))).when(k == 1, "f Adams Dennis, labourer. Pierce st w of Pearl").otherwise(F.concat(F.lit("Madden, John, labourer, Pratt st, dw "), n, F.lit(" Montgomery")))
+    parsed = _t(spark, sf_dir, "customer").select("c_custkey", addresses.entry(line).alias("e"))
+    parsed = parsed.select("c_custkey", "e.surname", "e.given", "e.occupation", "e.dwelling_raw", "e.addr_raw")
+    return parsed.withColumn("addr_type", addresses.address(F.col("addr_raw"))["addr_type"])
+
+
+@_query()
+def fuzzy_weighted_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, some with a letter more or their words turned round, and the name they resolve to."""
+    part = _t(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    probe = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("x"), "p_name")).otherwise(F.array_join(F.reverse(F.split("p_name", " ")), " "))
+    return fuzzy.best_match(part.select("p_partkey", probe.alias("probe")), "probe", part.filter("p_partkey % 2 = 0"), "p_name")
