@@ -124,3 +124,29 @@ def alias_pairs(line: Column) -> Column:
     stated = text.rlike(RELATION) & (a != "") & (F.length(b) >= 3) & ~b.rlike(NO_TARGET) & (x != "") & (y != "") & (x != y)
     pairs = F.when(relation == "was", F.array(pair(y, x))).when(relation == "see", F.array(pair(x, y), pair(y, x))).otherwise(F.array(pair(x, y)))
     return F.when(stated, pairs).otherwise(F.slice(pairs, 1, 0))
+
+
+#: How the note of a street names its newer or older name, where such a name ends, and what opens no name.
+NOW_NAMED = r"(?i)\bnow(?:\s+called)?\s+([A-Z][A-Za-z'’\.\- ]{2,28})"
+ONCE_NAMED = r"(?i)\b(?:formerly|late)\s+([A-Z][A-Za-z'’\.\- ]{2,28})"
+NAME_ENDS = r"(?i)\b(?:from|to|between|going|near|north|south|east|west)\b.*$"
+NO_NAME = r"(?i)^(the|and|from|to|of|going|between|north|south|east|west|near|part|opened|closed|a|an)\b"
+
+
+def note_alias_pairs(street: Column, note: Column) -> Column:
+    """array of struct(old, new, relation), as keys of streets, that the note beside a street's name gives; empty if none.
+
+    "now" and "now called" lead to the newer name, "formerly" and "late" to the older one; the first of each counts.
+    """
+    here = street_key(street)["core"]
+
+    def pair(pattern: str, relation: str) -> Column:
+        trimmed = r"^[ .,;:\-]+|[ .,;:\-]+$"
+        raw = F.regexp_replace(squeezed(F.regexp_extract(F.coalesce(note, F.lit("")), pattern, 1)), trimmed, "")
+        other = F.regexp_replace(F.regexp_replace(raw, NAME_ENDS, ""), trimmed, "")
+        key = street_key(other)["core"]
+        old, new = (here, key) if relation == "now" else (key, here)
+        good = (other != "") & ~other.rlike(NO_NAME) & (key != "") & (here != "") & (key != here)
+        return F.when(good, F.struct(old.alias("old"), new.alias("new"), F.lit(relation).alias("relation")))
+
+    return F.array_compact(F.array(pair(NOW_NAMED, "now"), pair(ONCE_NAMED, "formerly")))

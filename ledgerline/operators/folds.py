@@ -36,3 +36,9 @@ def between_markers(df: DataFrame, by: list[str], order: str, marker: Column) ->
     w = Window.partitionBy(*by)
     at = F.when(marker, F.col(order))
     return df.withColumn("_a", F.min(at).over(w)).withColumn("_z", F.max(at).over(w)).filter((F.col(order) >= F.col("_a")) & (F.col(order) <= F.col("_z"))).drop("_a", "_z")
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], names: list[str]) -> DataFrame:
+    """df with nulls of the named columns filled by the last value before them in the order, within `by`."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in names})

@@ -470,3 +470,21 @@ def fuzzy_weighted_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     probe = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("x"), "p_name")).otherwise(F.array_join(F.reverse(F.split("p_name", " ")), " "))
     return fuzzy.best_match(part.select("p_partkey", probe.alias("probe")), "probe", part.filter("p_partkey % 2 = 0"), "p_name")
+
+
+@_query("""
+WITH p AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) a, upper(split_part(p_name, ' ', 2)) b FROM part)
+SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN a ELSE b END AS old, CASE p_partkey % 2 WHEN 0 THEN b ELSE a END AS new, CASE p_partkey % 2 WHEN 0 THEN 'now' ELSE 'formerly' END AS relation FROM p WHERE a <> b AND length(b) > 2""")
+def note_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of old and new names that the notes beside streets give."""
+    words = F.split("p_name", " ")
+    note = F.concat(F.when(F.col("p_partkey") % 2 == 0, "now called ").otherwise("(formerly "), F.get(words, 1), F.lit(" alley from the water"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(names.note_alias_pairs(F.concat(F.get(words, 0), F.lit(" st")), note)).alias("p")).select("p_partkey", "p.old", "p.new", "p.relation")
+
+
+@_query("""
+SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM events""")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's latest purchase so far."""
+    rows = _t(spark, sf_dir, "events").withColumn("since", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    return folds.carried(rows, ["user_id"], ["ts", "event_id"], ["since"]).select("event_id", "user_id", "since")

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import addresses, geometry, names
-from ledgerline.operators import fuzzy, spatial
+from ledgerline.functions import addresses, geometry, names, projection
+from ledgerline.operators import folds, fuzzy, spatial
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -101,3 +101,27 @@ def test_entries_and_aliases(spark):
     stated = ["Dover Alley: now Pin 1850 and so on", "Old Lane: was Elder Row", "Apple: see Pear (b)", "Oak: now opened", "Oak: now Oak St", "Oak: now Elm, later", "x", None]
     pairs = [[tuple(p) for p in r["p"]] for r in spark.createDataFrame([(x,) for x in stated], "l string").select(names.alias_pairs(F.col("l")).alias("p")).collect()]
     assert pairs == [[("DOVER", "PIN", "now")], [("ELDER ROW", "OLD", "was")], [("APPLE", "PEAR", "see"), ("PEAR", "APPLE", "see")], [], [], [], [], []]
+
+
+def test_conic_round_trip_and_true_scale_on_its_parallels(spark):
+    conic = projection.Conic()
+    df = spark.createDataFrame([(-77.0, 37 + 40 / 60), (-76.6122, 39.2904), (-79.4, 38.3), (-75.1, 39.45), (None, 39.0)], "lon double, lat double")
+    step = 1e-5
+    out = df.withColumn("p", conic.to_metres(F.col("lon"), F.col("lat"))).withColumn("q", conic.to_metres(F.col("lon") + step, F.col("lat"))).withColumn("d", conic.to_degrees(F.col("p.x"), F.col("p.y"))).collect()
+    assert (out[0]["p"]["x"], out[0]["p"]["y"]) == (pytest.approx(400_000.0), pytest.approx(0.0, abs=1e-6))
+    assert out[4]["p"] is None and out[4]["d"] is None
+    for r in out[:4]:
+        assert (r["d"]["lon"], r["d"]["lat"]) == (pytest.approx(r["lon"], abs=1e-9), pytest.approx(r["lat"], abs=1e-9))
+    for r in out[2:4]:
+        phi = np.radians(r["lat"])
+        e2 = conic.flattening * (2 - conic.flattening)
+        true = conic.axis * np.cos(phi) / np.sqrt(1 - e2 * np.sin(phi) ** 2) * np.radians(step)
+        assert np.hypot(r["q"]["x"] - r["p"]["x"], r["q"]["y"] - r["p"]["y"]) == pytest.approx(true, rel=1e-6)
+
+
+def test_aliases_of_notes_and_carried_values(spark):
+    rows = [("Gravel al", "now Tyson street from Eutaw"), ("Pearl st", "(formerly Gravel al)"), ("Oak st", "now the alley"), ("Oak st", "now called Elm, late Ash row"), ("Oak st", None), (None, "now Elm")]
+    got = spark.createDataFrame(rows, "s string, n string").select(names.note_alias_pairs(F.col("s"), F.col("n")).alias("p")).collect()
+    assert [[tuple(p) for p in r["p"]] for r in got] == [[("GRAVEL", "TYSON", "now")], [("GRAVEL", "PEARL", "formerly")], [], [("OAK", "ELM", "now"), ("ASH ROW", "OAK", "formerly")], [], []]
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None)], "k string, i int, v string")
+    assert sorted((r["k"], r["i"], r["v"]) for r in folds.carried(df, ["k"], ["i"], ["v"]).collect() if r["v"]) == [("a", 2, "x"), ("a", 3, "x")]
