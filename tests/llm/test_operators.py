@@ -197,6 +197,14 @@ def test_secret_scan_against_brute_force(spark):
     assert kept[0] is None and kept[1] == "" and kept[4] == "key [secret] end" and kept[3] == 'é😀 [secret]" [secret] [secret]'
 
 
+def test_secret_scan_reads_values_after_an_equals_sign(spark):
+    key = "Zx9Qw3Lp0Vt7Rk2Mn5Bc8Yd1Hj4"
+    forms = ["export AUTH=%s", "url?sig=%s&x=1", "PRIVATE_KEY=%s\n", "Server=a;SharedSignature=%s==;b=c", "A_RATHER_LONG_NAME_OF_A_KEY=%s", "%s=1", "x=='%s'"]
+    texts = [f % key for f in forms]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [f.replace("%s==", "%s") % "[secret]" for f in forms]
+
+
 def test_token_counts_match_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
