@@ -205,6 +205,20 @@ def test_secret_scan_reads_values_after_an_equals_sign(spark):
     assert [got[i] for i in range(len(texts))] == [f.replace("%s==", "%s") % "[secret]" for f in forms]
 
 
+def test_battery_passes_random_tokens_of_every_encoding(spark):
+    rng, rows = np.random.default_rng(31), []
+    for kind, letters in secret_scan.ALPHABETS.items():
+        letters = letters.replace("+", "").replace("/", "")
+        rows += [(kind, n, "".join(rng.choice(list(letters), n))) for n in (64, 128) for _ in range(40)]
+    prose = "itisatruthuniversallyacknowledgedthatasinglemaninpossession derdonaudampfschifffahrtsgesellschaftskapitaenwarnichtda chpfheitschverheiten queelleaiierelletion ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows += [("ordinary", 0, t) for t in prose.split()]
+    frame = spark.createDataFrame(rows, "kind string, n int, token string").withColumn("b", secret_scan.battery(F.col("token")))
+    good = (F.col("b.uniform_p") >= 1e-3) & (F.col("b.ordinary") >= 3)
+    got = {(r["kind"], r["n"]): r["good"] for r in frame.groupBy("kind", "n").agg(F.count_if(good).alias("good")).collect()}
+    assert got.pop(("ordinary", 0)) == 0
+    assert len(got) == 22 and min(got.values()) >= 35, got
+
+
 def test_token_counts_match_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
