@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence, the shortest run of consecutive sentences with enough words is hashed. Spans are joined over all
+From and to every sentence, the shortest run of consecutive sentences with enough words is hashed. Spans are joined over all
 documents; the first by (doc_id, sentence) of a span that repeats stays, and sentences that any other one covers go.
 """
 
@@ -46,16 +46,17 @@ def _blocks(start: np.ndarray, end: np.ndarray, size: int = 100_000):
 
 
 def spans(h: np.ndarray, begin: np.ndarray, several: int, words: int, alone: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, last) of the shortest run from each sentence with `several` sentences and `words` words.
+    """(hash, first sentence, last) of the shortest runs with `several` sentences and `words` words, from and to each sentence.
 
-    A sentence of `alone` words or more is a run by itself.
+    A sentence of `alone` words or more is a run by itself besides. Every sentence of a longer run lies in one of its runs.
     """
     n = len(begin) - 1
-    first = np.arange(n)
-    last = np.maximum(first + several - 1, np.searchsorted(begin, begin[:-1] + words) - 1)
-    last = np.where(begin[1:] - begin[:-1] >= alone, first, last)
-    ok = last < n
-    first, last = first[ok], last[ok]
+    each = np.arange(n)
+    last = np.maximum(each + several - 1, np.searchsorted(begin, begin[:-1] + words) - 1)
+    first = np.minimum(each - several + 1, np.searchsorted(begin, begin[1:] - words, side="right") - 1)
+    ok, full, long = last < n, first >= 0, np.flatnonzero(begin[1:] - begin[:-1] >= alone)
+    pairs = np.unique(np.concatenate((each[ok] * n + last[ok], first[full] * n + each[full], long * n + long)))
+    first, last = pairs // max(n, 1), pairs % max(n, 1)
     up = np.full(len(h) + 1, _BASE, dtype=np.uint64)
     down = np.full(len(h) + 1, _INV, dtype=np.uint64)
     up[0] = down[0] = 1

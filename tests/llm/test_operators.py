@@ -112,6 +112,20 @@ def test_substring_dedup_keeps_the_first(spark):
     assert got[2]["text"] == own[2] and got[3]["text"] is None and got[4]["text"] == ""
 
 
+def test_substring_dedup_takes_whole_passages(spark):
+    for k, sizes in enumerate([(30, 10, 12), (60, 45), (45, 60), (10, 10, 10), (12, 60, 5, 5)]):
+        passage = " ".join(" ".join(words(m, 300 + 10 * k + i)) + "." for i, m in enumerate(sizes))
+        texts = [f"{passage} " + " ".join(words(9, 400)) + ".", " ".join(words(9, 401)) + f". {passage} " + " ".join(words(9, 402)) + "."]
+        h, begin, _ = substring_dedup.sentences(texts[0])
+        ours, _, _ = substring_dedup.spans(h, begin, 2, 25, 50)
+        h, begin, _ = substring_dedup.sentences(texts[1])
+        theirs, first, last = substring_dedup.spans(h, begin, 2, 25, 50)
+        gone = {i for w, a, z in zip(theirs, first, last, strict=True) if w in ours for i in range(a, z + 1)}
+        assert gone == set(range(1, len(sizes) + 1)), sizes
+        got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, texts)).collect()} if k < 2 else None
+        assert got is None or (got[0]["n_removed"] == 0 and got[1]["words_removed"] == sum(sizes))
+
+
 def test_license_scan_against_brute_force(spark):
     texts = [None, "", "Released under the MIT License.", "GNU General  Public-License; cc by, cc by", "mit licenses apache", "x " * 3000 + "apache LICENSE", license_scan.TEMPLATES[2][1] + " more"]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
