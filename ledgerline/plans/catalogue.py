@@ -469,7 +469,7 @@ def fuzzy_weighted_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     k = F.col("p_partkey") % 3
     probe = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("x"), "p_name")).otherwise(F.array_join(F.reverse(F.split("p_name", " ")), " "))
-    return fuzzy.best_match(part.select("p_partkey", probe.alias("probe")), "probe", part.filter("p_partkey % 2 = 0"), "p_name")
+    return fuzzy.best_match(part.select("p_partkey", probe.alias("probe")), "probe", part, "p_name")
 
 
 @_query("""

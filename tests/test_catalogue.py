@@ -30,5 +30,10 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     assert got == _rows(cur.fetchall(), columns)
 
 
+def test_names_resolve_by_the_whole_lexicon(spark):
+    got = catalogue.queries()["fuzzy_weighted_ratio"](spark, SF).filter("p_partkey % 3 = 0").collect()
+    assert got and all(r["resolved"] == r["probe"] and r["score"] == 100 for r in got)
+
+
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() > 0
