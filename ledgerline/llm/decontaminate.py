@@ -52,8 +52,8 @@ class Templates:
         self.at[token] = i
         return i
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(hash, placeholder type or 0, token) of the whole text's template tokens.
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(hash, placeholder type or 0, hash as a word, whether capitalised, token) of the whole text's template tokens.
 
         A capitalised word is a name unless it opens a sentence; a unit is one only after a number.
         """
@@ -62,38 +62,52 @@ class Templates:
             self._clear()
         get, add = self.at.get, self._add
         ids = np.fromiter((add(t) if (i := get(t)) is None else i for t in tokens), dtype=np.int64, count=len(tokens))
-        kind, h = self.kind[ids], self.hash[ids].copy()
+        kind, word = self.kind[ids], self.hash[ids]
+        h = word.copy()
         opens = np.concatenate(([True], kind[:-1] == 4)) if len(ids) else np.zeros(0, bool)
         after = np.concatenate(([False], kind[:-1] == 1)) if len(ids) else np.zeros(0, bool)
         slot = np.where(kind == 1, _NUMBER, np.where((kind == 2) & after, _UNIT, np.where((kind == 3) & ~opens, _NAME, 0)))
         h[slot > 0] = slot[slot > 0].astype(np.uint64)
         keep = np.flatnonzero(kind != 4)
-        return h[keep], slot[keep], [tokens[i] for i in keep[slot[keep] > 0]]
+        return h[keep], slot[keep], word[keep], kind[keep] == 3, [tokens[i] for i in keep]
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k template tokens."""
+def windows(h: np.ndarray, k: int, first: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of k template tokens; `first` has the hashes of tokens that a run begins with."""
     if len(h) < k:
         return h[:0]
     total = np.full(len(h) - k + 1, _U(k), dtype=np.uint64)
     for i in range(k):
-        total = mix64(total * _U(31) + h[i : len(h) - k + 1 + i])
+        part = h if i or first is None else first
+        total = mix64(total * _U(31) + part[i : len(h) - k + 1 + i])
     return total
 
 
-def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None):
-    """Columns of the (wanted) windows of a text: key, size, position, hash, and the slots' values."""
-    h, slot, values = templates(text)
-    before = np.concatenate(([0], np.cumsum(slot > 0)))
+def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, either: bool):
+    """Columns of the (wanted) windows of a text: key, size, position, hash, and the slots' values.
+
+    Windows with names are hashed with these as words too, for copies in another letter case; with `either`, those with a
+    capitalised first word also with that one alone the other way, as what stands before it decides whether it is a name.
+    """
+    h, slot, word, capital, tokens = templates(text)
+    named = slot == _NAME
+    names = np.concatenate(([0], np.cumsum(named)))
+    plain, bare = np.where(named, word, h), np.where(named, 0, slot)
+    turned = np.where(named, word, _U(_NAME))
     for k in sizes:
-        w = windows(h, k)
-        if wanted is not None and len(w):
-            place = np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)
-            at = np.flatnonzero(wanted[place] == w)
-        else:
-            at = np.arange(len(w))
-        for i in at.tolist():
-            yield key, k, i, int(w[i : i + 1].view(np.int64)[0]), [v.lower() for v in values[before[i] : before[i + k]]]
+        n = len(h) - k + 1
+        if n < 1:
+            continue
+        forms = [(windows(h, k), np.arange(n), slot, False), (windows(plain, k), np.flatnonzero(names[k:] > names[:-k]), bare, False)]
+        if either:
+            forms.append((windows(h, k, turned), np.flatnonzero(capital[:n]), slot, True))
+        for w, at, kinds, turn in forms:
+            if wanted is not None and len(at):
+                place = np.minimum(np.searchsorted(wanted, w[at]), len(wanted) - 1)
+                at = at[wanted[place] == w[at]]
+            for i in at.tolist():
+                first = [tokens[i].lower()] if (kinds[i] > 0) != turn else []
+                yield key, k, i, int(w[i : i + 1].view(np.int64)[0]), first + [tokens[j].lower() for j in range(i + 1, i + k) if kinds[j] > 0]
 
 
 def _table(rows, key: str) -> pa.RecordBatch:
@@ -102,7 +116,7 @@ def _table(rows, key: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "k", "pos", "hash", "slots"])
 
 
-def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted=None) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted=None, either: bool = False) -> DataFrame:
     def run(batches):
         templates = Templates()
         held = None if wanted is None else wanted.value
@@ -111,7 +125,7 @@ def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted=None) -> Data
                 part = batch.slice(at, 256)
                 rows = []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows.extend(_rows(templates, i, t, sizes, held))
+                    rows.extend(_rows(templates, i, t, sizes, held, either))
                     if len(rows) > 20_000:
                         yield _table(rows, key)
                         rows = []
@@ -139,11 +153,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 8, cover: flo
     found = sorted(r[0] for r in sizes.select("size").distinct().collect())
     known = _window_rows(items.dropDuplicates(["item_id"]), "item_id", found).join(sizes, "item_id").filter("k = size").drop("size")
     known = cut(known)
-    totals = known.groupBy("item_id").agg(F.count("*").alias("total"))
+    totals = known.groupBy("item_id").agg(F.count_distinct("pos").alias("total"))
     held = known.select("hash").distinct()
     n = held.limit(HELD + 1).count()
     wanted = spark.sparkContext.broadcast(np.sort(held.toPandas()["hash"].to_numpy().view(np.uint64))) if 0 < n <= HELD else None
-    ours = _window_rows(docs.filter("doc_id is not null"), "doc_id", found, wanted) if n else _window_rows(docs.limit(0), "doc_id", [])
+    ours = _window_rows(docs.filter("doc_id is not null"), "doc_id", found, wanted, True) if n else _window_rows(docs.limit(0), "doc_id", [])
     theirs = known.select("item_id", "k", "hash", F.col("pos").alias("at"), F.col("slots").alias("was"))
     met = cut(ours.join(bounded(theirs), ["k", "hash"]))
     pairs = met.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n")).join(bounded(totals), "item_id").withColumn("cover", F.col("n") / F.col("total")).filter(F.col("cover") >= cover)

@@ -164,6 +164,14 @@ def test_decontamination_finds_other_values(spark):
     assert got[0]["exact"] and not got[1]["exact"] and got[1]["item_ids"] == [7]
 
 
+def test_decontamination_finds_short_items_in_any_context_and_case(spark):
+    item = "What is the capital of France?"
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    texts = [f"Q: {item}", f"so ({item})", item.lower(), item.upper(), "Q: What is the capital of Spain?", "Q: Where is the capital of France?", "Paris is the capital of France."]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert [got[i] for i in range(len(texts))] == [True] * 5 + [False] * 2
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 16))
