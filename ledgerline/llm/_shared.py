@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,15 @@ BROADCAST_ROWS = 500_000
 _U = np.uint64
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; only where none is set, a temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared spark.checkpoint.dir; only where none is set and all runs in one process, a temporary one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,13 +39,71 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _tidy(spark)
     return out
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has at most so many rows; else df as it is."""
+def _tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage, and let its C library give back what the compiler's threads no longer hold.
+
+    Without the second, a driver that has compiled many plans keeps some hundred MB that nothing uses.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    kind, text = jvm.java.lang.Class.forName, "java.lang.String"
+    types = gateway.new_array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", text, "[Ljava.lang.Object;", f"[L{text};")):
+        types[i] = kind(name)
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        kind("javax.management.MBeanServerConnection").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # a JVM without that command
+        pass
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def written(df: DataFrame):
+    """df as a Parquet table in the shared checkpoint folder, which goes when the block ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def packed(df: DataFrame, *more) -> DataFrame:
+    """Each row of df as one struct `_row`, and the columns `more`: names of df cannot clash with any others."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], **instead) -> DataFrame:
+    """The columns of `_row` as they were, but those named in `instead`, which are replaced."""
+    return df.select(*[instead[c].alias(c) if c in instead else F.col("_row").getField(c).alias(c) for c in columns])
+
+
+def text_key(text="text"):
+    """What tells texts apart: two hashes of the text and its length; null has one of its own."""
+    t = F.col(text).cast("string") if isinstance(text, str) else text.cast("string")
+    return F.struct(F.xxhash64(F.lit(1), t).alias("a"), F.xxhash64(F.lit(2), t).alias("b"), F.coalesce(F.length(t), F.lit(-1)).alias("n"))
+
+
+def bounded(df: DataFrame, rows: int | None = None, items: str | None = None) -> DataFrame:
+    """df with a broadcast hint if a count proves that it has at most so many rows; else df as it is.
+
+    items: an array column, whose items are counted too, as rows may hold any number of them.
+    """
     rows = BROADCAST_ROWS if rows is None else rows
+    if items and (df.agg(F.sum(F.size(items))).first()[0] or 0) > rows:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

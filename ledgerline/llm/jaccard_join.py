@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded, components, cut, mix64, shingles
+from ._shared import bounded, components, cut, mix64, packed, shingles, unpacked
 
 _U = np.uint64
 #: Buckets of the frequency sketch: its size does not depend on the input.
@@ -38,11 +38,11 @@ def _texts(batches) -> Iterator[tuple[list, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, SMALL_BATCH):
             part = batch.slice(at, SMALL_BATCH)
-            yield part.column(0), part.column(1).to_pylist()
+            yield part.columns[:-1], part.columns[-1].to_pylist()
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents per bucket of shingle hashes, over all documents: a fixed number of counters.
+    """Documents per bucket of the shingle hashes of docs(text), over all of them: a fixed number of counters.
 
     A task's counters travel as blocks, which are summed in groups of bounded size, twice.
     """
@@ -62,12 +62,13 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"block": table["block"][:1], "salt": table["salt"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
     kind = "block int, salt int, counts binary"
-    rows = docs.select("doc_id", "text").mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
+    rows = docs.select("text").mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
     if salts > 1:
         rows = rows.groupBy("block").applyInArrow(add, kind)
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in rows.collect():
-        sketch[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], dtype=np.uint32)
+    got = rows.toArrow()
+    for block, counts in zip(got["block"].to_pylist(), got["counts"], strict=True):
+        sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(counts.as_buffer(), dtype=np.uint32)
     return sketch
 
 
@@ -112,11 +113,11 @@ def _signatures(k: int, percent: int, sketch):
                 out["matches"].append(matches)
                 out["prefix"].append(s[order[: n - need + matches]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.array(out["matches"], pa.int32()), pa.array(out["prefix"], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "sig", "matches", "prefix"],
+                [*ids, pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.array(out["matches"], pa.int32()), pa.array(out["prefix"], pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "n", "node", "sig", "matches", "prefix"],
             )
 
-    return run, "doc_id bigint, n bigint, node bigint, sig bigint, matches int, prefix array<bigint>"
+    return run, "doc_id bigint, mark bigint, n bigint, node bigint, sig bigint, matches int, prefix array<bigint>"
 
 
 def _node(s: np.ndarray) -> tuple[int, int]:
@@ -130,18 +131,29 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): mark is a hash of the text, which tells rows of one doc_id, or of none, apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("mark"), text.alias("text"))
+
+
 def _fetch(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, items, bits) of the nodes(node, rep), made anew from the texts of their documents; bits is the parity."""
-    wanted = bounded(nodes.select("node", F.col("rep").alias("doc_id")))
+    """(node, items, bits) of the nodes(node, rep), made anew from the texts of their rows; bits is the parity."""
+    wanted = bounded(nodes.select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep.mark").alias("_mark")))
 
     def run(batches):
-        for ids, texts in _texts(batches):
-            found = [shingles(t, k) for t in texts]
-            same = [i for i, (s, node) in enumerate(zip(found, ids.to_pylist(), strict=True)) if len(s) and _node(s)[0] == node]  # a doc_id may have other rows
+        seen: set[int] = set()  # rows that share id and text give a node once in each task
+        for (names,), texts in _texts(batches):
+            found, same = [shingles(t, k) for t in texts], []
+            for i, (s, node) in enumerate(zip(found, names.to_pylist(), strict=True)):
+                if node not in seen and len(s) and _node(s)[0] == node:
+                    seen.add(node)
+                    same.append(i)
             items = pa.array([found[i].view(np.int64) for i in same], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(same, pa.int64())), items, pa.array([parity(found[i]) for i in same], pa.list_(pa.int64()))], names=["node", "items", "bits"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(same, pa.int64())), items, pa.array([parity(found[i]) for i in same], pa.list_(pa.int64()))], names=["node", "items", "bits"])
 
-    return cut(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, items array<bigint>, bits array<bigint>"))
+    met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")))
+    return cut(met.select("node", "text").mapInArrow(run, "node bigint, items array<bigint>, bits array<bigint>"))
 
 
 def _bounds(sets: DataFrame) -> DataFrame:
@@ -182,19 +194,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", inter.alias("i"), (F.size("x") + F.size("y")).alias("s")).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label after the pairs of found were linked too: only their components are gone through again."""
+    ends = found
+    for c in ("a", "b"):
+        ends = ends.join(label.withColumnsRenamed({"node": c, "comp": f"_{c}"}), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    over = components(ends).select(F.col("comp").alias("_top"), F.col("node").alias("comp"))
+    alone = over.select(F.col("comp").alias("node"), F.col("_top").alias("comp")).join(label.select("node"), "node", "left_anti")
+    return cut(label.join(over, "comp", "left").select("node", F.coalesce("_top", "comp").alias("comp")).unionByName(alone))
 
-    Sets of k-word shingles link at a Jaccard similarity of percent/100 or more; component_id is the smallest doc_id
-    reachable. Null and empty texts have no shingles and link with nothing; texts under k words are one shingle; rows
-    that repeat a doc_id are kept; a null doc_id stays null unless its component has another. Other columns are ignored.
+
+def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, node, sig) of every row, and (node, sig, first): the first row of a set's component.
+
+    Rows are ordered by doc_id, null last, then mark.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _marked(docs)
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, k))
     run, schema = _signatures(k, percent, sketch)
     signed = cut(docs.mapInArrow(run, schema))
-    nodes = cut(signed.filter("node is not null").groupBy("node", "sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    sketch.destroy()
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    nodes = cut(signed.filter("node is not null").groupBy("node", "sig").agg(F.min(row).alias("rep"), F.max("n").alias("n")))
 
     posted = signed.filter("prefix is not null").select(F.explode("prefix").alias("token"), "node", "n", "matches")
     posted = posted.repartition(F.col("token")).groupBy("token", "node").agg(F.min("n").alias("n"), F.min("matches").alias("matches"))
@@ -204,7 +226,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     reps = nodes.groupBy("node").agg(F.min("rep").alias("rep"))
 
     # Every node against the most central one that it shares most with.
-    edges = spark.createDataFrame([], "a bigint, b bigint")
     label = None
     scored = shared.withColumn("score", F.count("*").over(Window.partitionBy("node")))
     hubs = scored.groupBy("token").agg(F.max(F.struct("score", "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
@@ -213,8 +234,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     found = cut(_verified(pairs, _fetch(docs, reps.join(ends, "node"), k), percent))
     if found.limit(1).count():
-        edges = found
-        label = components(edges)
+        label = components(found)
 
     # What is left: pairs of different components that share enough prefix shingles.
     rows = shared.withColumn("comp", F.col("node")) if label is None else shared.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -232,20 +252,45 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
         seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = cut(_verified(more.join(seen, ["a", "b"], "left_anti"), sets, percent))
         if found.limit(1).count():
-            edges = cut(edges.union(found))
-            label = components(edges)
+            label = components(found) if label is None else _merged(label, found)
 
     if label is None:
-        named = nodes.select("node", "sig", F.col("rep").alias("component_id"))
+        named = nodes.select("node", "sig", F.col("rep").alias("first"))
     else:
         placed = nodes.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        first = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        named = placed.join(first, "comp").select("node", "sig", "component_id")
-    named = cut(named)
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "node", "sig").join(named, ["node", "sig"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        first = placed.groupBy("comp").agg(F.min("rep").alias("first"))
+        named = placed.join(first, "comp").select("node", "sig", "first")
+    return signed.select("doc_id", "mark", "n", "node", "sig"), cut(named)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
+
+    Sets of k-word shingles link at a Jaccard similarity of percent/100 or more; component_id is the smallest doc_id
+    reachable. Null and empty texts have no shingles and link with nothing; texts under k words are one shingle; rows
+    that repeat a doc_id are kept, and so are those without one, which link like others: their component_id is null only
+    if no row of their component has an id. Other columns are ignored.
+    """
+    signed, named = _linked(docs, k, percent)
+    rows = signed.join(named, ["node", "sig"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents whose doc_id is their component's; of repeated rows of it all stay. Columns as in docs."""
-    keep = jaccard_components(docs, k, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component: that of the smallest doc_id, null last. Columns as in docs, whatever their names.
+
+    Rows that repeat the document's id and text all stay, as one document; of rows without an id that share a text, any one
+    stays. Rows whose texts have no words link with nothing and stay, whatever their ids.
+    """
+    signed, named = _linked(docs, k, percent)
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))
+    keep = cut(signed.join(named, ["node", "sig"], "left").filter(F.col("node").isNull() | first).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("node").isNull().alias("_wordless")).distinct())
+    text = F.col("text").cast("string")
+    rows = packed(docs, F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.lit(1), text).alias("_m"))
+    there = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_m") == F.col("_mark"))
+    unnamed = keep.filter("_doc is null and not _wordless")
+    if not unnamed.limit(1).count():
+        return unpacked(rows.join(keep, there, "left_semi"), docs.columns)
+    others = rows.join(keep.filter("_doc is not null or _wordless"), there, "left_semi")
+    once = rows.filter("_id is null").join(unnamed, there, "left_semi").dropDuplicates(["_m"])
+    return unpacked(others.unionByName(once), docs.columns)
