@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source takes whole passes of all its documents first. What its target leaves is fitted by document counts per exact
-length: a proportional share of each length, then a bounded-knapsack dynamic programme over the last words. Documents
-are then picked by seeded hash within their length.
+length: a proportional share of each length, then a bounded-knapsack dynamic programme over the words that are left.
+Documents are then picked by seeded hash within their length, up to a cut value.
 """
 
 from __future__ import annotations
@@ -17,58 +17,83 @@ from ._shared import bounded, cut
 
 #: Words of `[^\x20\x09-\x0D]+` in a text.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a budget that the dynamic programme fits exactly; a greedy step over long documents comes before.
-EXACT_WORDS = 20_000
-#: Documents that a selection window ranks at once, about.
+#: Words that proportional shares leave to the dynamic programme at least; twice the longest document, if that is more.
+RESERVE = 50_000
+#: Documents of one length that a window ranks at once, about.
 RANKED = 2_000
 
 
-def fit_lengths(lengths: list[int], counts: list[int], budget: float) -> list[int]:
-    """How many documents of each length to take so that the words come as near to budget as they can.
+def nearest_sum(lengths: list[int], counts: list[int], goal: int) -> list[int]:
+    """How many of each length, at most its count, so that the sum is the nearest to goal; the smaller of two as near.
 
-    Never more of a length than its count. Proportional shares keep the mix of lengths; the rest is a bounded knapsack.
+    Exact: a bounded knapsack over sums as bits of one number. Counts are split into powers of two; the sums that the
+    first items reach are kept at every so many items only, and made again where they are needed to trace the choice.
     """
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    goal = min(max(int(round(budget)), 0), total)
-    if not total or not goal:
-        return [0] * len(lengths)
-    take = [goal * c // total for c in counts]
-    rest = goal - sum(n * t for n, t in zip(lengths, take, strict=True))
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if rest <= EXACT_WORDS:
-            break
-        if lengths[i]:
-            more = min(counts[i] - take[i], (rest - EXACT_WORDS + lengths[i] - 1) // lengths[i], rest // lengths[i])
-            take[i] += more
-            rest -= more * lengths[i]
-    over = max((n for n in lengths), default=0)
-    span = min(rest, EXACT_WORDS) + min(over, EXACT_WORDS)
-    mask, reach, steps = (1 << (span + 1)) - 1, 1, []
+    take = [0] * len(lengths)
+    longest = max((n for n, c in zip(lengths, counts, strict=True) if c > 0), default=0)
+    if not longest or goal <= 0:
+        return take
+    span = goal + longest
+    mask = (1 << (span + 1)) - 1
+    items = []
     for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        n, left = lengths[i], counts[i] - take[i]
-        left = min(left, span // n) if n else 0
-        size = 1
+        left, size = min(counts[i], span // lengths[i]) if lengths[i] else 0, 1
         while left > 0:
             size = min(size, left)
-            steps.append((i, size, reach))
-            reach |= (reach << (n * size)) & mask
+            items.append((i, size))
             left -= size
             size *= 2
-        if reach >> rest & 1:
+    stride = max(1, math.isqrt(len(items)))
+    kept, reach, used = [], 1, 0
+    for k, (i, size) in enumerate(items):
+        if k % stride == 0:
+            kept.append(reach)
+        reach |= (reach << (lengths[i] * size)) & mask
+        used = k + 1
+        if reach >> goal & 1:
             break
-    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> (rest + 1)
-    at = below
-    if above:
-        up = (above & -above).bit_length() - 1 + rest + 1
-        at = up if up - rest < rest - below else below
-    for i, size, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += size
-            at -= size * lengths[i]
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> (goal + 1)
+    if above and (above & -above).bit_length() < goal - at:
+        at = goal + (above & -above).bit_length()
+    while used:
+        block = (used - 1) // stride
+        before = [kept[block]]
+        for i, size in items[block * stride : used - 1]:
+            before.append(before[-1] | (before[-1] << (lengths[i] * size)) & mask)
+        for (i, size), sums in zip(reversed(items[block * stride : used]), reversed(before), strict=True):
+            if not sums >> at & 1:
+                take[i] += size
+                at -= size * lengths[i]
+        used = block * stride
     return take
 
 
+def fit_lengths(lengths: list[int], counts: list[int], budget: float) -> list[int]:
+    """How many documents of each length to take so that their words come as near to budget as they can.
+
+    Never more of a length than its count. Each length gives its share of all words but a reserve, which keeps the mix of
+    lengths; the reserve, of twice the longest document at least, is fitted exactly. Where the reserve covers the budget,
+    the sum is the nearest that there is.
+    """
+    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    goal = min(max(int(round(budget)), 0), total)
+    if not goal:
+        return [0] * len(lengths)
+    longest = max(lengths)
+    reserve = max(RESERVE, 2 * longest)
+    shared = max(0, goal - reserve)
+    take = [shared * c // total for c in counts]
+    rest = goal - sum(n * t for n, t in zip(lengths, take, strict=True))
+    # Rounding down leaves up to one document of each length: the longest ones first, while the reserve stays.
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if lengths[i] and take[i] < counts[i] and rest - lengths[i] >= reserve:
+            take[i] += 1
+            rest -= lengths[i]
+    more = nearest_sum(lengths, [c - t for c, t in zip(counts, take, strict=True)], rest)
+    return [t + m for t, m in zip(take, more, strict=True)]
+
+
 def fill_targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
     """Targets in proportion to the weights, that stop at most times a size; excess goes to the others by weight."""
     total = share * sum(sizes)
@@ -92,11 +117,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
 
     size: words of the whole text, 0 for null or empty ones, which take nothing. Sources stand in code point order,
     null last, and weigh `weights`, repeating. taken is 0, 1 or more whole copies of a document's words, at most
-    ceil(most) of them. Rows that repeat a doc_id tie and may swap places, which gives the same rows. The table of
-    sources, one row each, is the only thing that reaches the driver.
+    ceil(most) of them. Rows that repeat a doc_id tie and may swap places, which gives the same rows; null ids tie alike.
+    An empty table gives no rows; other columns are ignored. The table of sources, one row each, is all that reaches the
+    driver; the lengths of one source, a row for each, are fitted in one task.
     """
     docs = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    docs = cut(docs)
+    docs = cut(docs.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("rid", F.monotonically_increasing_id()))
     lengths = cut(docs.groupBy("source", "size").agg(F.count("*").alias("count")))
     found = sorted(((r["source"], int(r["n"])) for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     sizes = [n for _, n in found]
@@ -110,22 +136,24 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
         rest = target - passes * whole if passes < most else 0.0
         return rows.assign(passes=passes, extra=fit_lengths(rows["size"].tolist(), rows["count"].tolist(), rest))[["source", "size", "count", "source_size", "target", "passes", "extra"]]
 
-    both = lengths.alias("l").join(F.broadcast(plan).alias("p"), F.col("l.source").eqNullSafe(F.col("p.source"))).select("l.source", "size", "count", "source_size", "target")
+    both = lengths.alias("l").join(bounded(plan).alias("p"), F.col("l.source").eqNullSafe(F.col("p.source"))).select("l.source", "size", "count", "source_size", "target")
     chosen = cut(both.groupBy("source").applyInPandas(fit, "source string, size bigint, count bigint, source_size bigint, target double, passes int, extra bigint"))
-    named = chosen.withColumnsRenamed({"source": "s", "size": "z"})
-    rows = docs.join(bounded(named), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    sure = rows.filter("extra = 0 or extra = count").withColumn("copies", F.col("passes") + (F.col("extra") > 0).cast("int"))
-    # The documents of a length are dealt over hash ranges of about RANKED rows: whole ranges are taken or left, and only the one that the count ends in is ranked.
-    open_ = rows.filter("extra > 0 and extra < count").withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    chosen = chosen.withColumnsRenamed({"source": "_source", "size": "_size"})
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    # Where a part of a length's documents is taken, they are counted by hash range; only the range that the count ends in
+    # is ranked, which gives the draw and row up to which documents are taken.
     ranges = (F.col("count") / F.lit(RANKED)).cast("bigint") + 1
-    open_ = open_.withColumn("slot", (F.pmod("draw", F.lit(1 << 31)) * ranges / F.lit(1 << 31)).cast("bigint"))
-    by = ["source", "size"]
+    slot = (F.pmod("draw", F.lit(1 << 31)) * ranges / F.lit(1 << 31)).cast("bigint")
+    open_ = docs.join(bounded(chosen.filter("extra > 0 and extra < count").select("_source", "_size", "count", "extra")), same).withColumn("slot", slot)
+    by = ["_source", "_size"]
     slots = open_.groupBy(*by, "slot", "extra").agg(F.count("*").alias("here"))
-    slots = slots.withColumn("before", F.sum("here").over(Window.partitionBy(*by).orderBy("slot")) - F.col("here"))
-    slots = slots.withColumn("want", F.greatest(F.lit(0), F.least(F.col("here"), F.col("extra") - F.col("before")))).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("slot").alias("_slot"), "here", "want")
-    open_ = open_.join(bounded(slots), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("slot") == F.col("_slot")))
-    whole = open_.filter("want = 0 or want = here").withColumn("copies", F.col("passes") + (F.col("want") > 0).cast("int"))
-    part = open_.filter("want > 0 and want < here").withColumn("place", F.row_number().over(Window.partitionBy(*by, "slot").orderBy("draw", "doc_id")))
-    part = part.withColumn("copies", F.col("passes") + (F.col("place") <= F.col("want")).cast("int"))
-    out = ["doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken")]
-    return sure.select(*out).unionByName(whole.select(*out)).unionByName(part.select(*out))
+    slots = slots.withColumn("upto", F.sum("here").over(Window.partitionBy(*by).orderBy("slot")))
+    last = slots.filter("upto >= extra and upto - here < extra").select(*by, F.col("slot").alias("_slot"), (F.col("extra") - F.col("upto") + F.col("here")).alias("want"))
+    last = bounded(cut(last).withColumnsRenamed({"_source": "_s", "_size": "_z"}))
+    ending = open_.join(last, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("slot") == F.col("_slot")))
+    place = F.row_number().over(Window.partitionBy(*by, "slot").orderBy("draw", "doc_id", "rid"))
+    ends = ending.withColumn("place", place).filter("place = want").select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("slot").alias("_slot"), F.struct("draw", "doc_id", "rid").alias("end"))
+    chosen = cut(chosen.join(ends, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")), "left").drop("_s", "_z"))
+    upto = (slot < F.col("_slot")) | ((slot == F.col("_slot")) & (F.struct("draw", "doc_id", "rid") <= F.col("end")))
+    copies = F.col("passes") + F.when(F.col("extra") == 0, 0).when((F.col("extra") == F.col("count")) | upto, 1).otherwise(0)
+    return docs.join(bounded(chosen), same).select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"))
