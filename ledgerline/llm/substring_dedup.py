@@ -1,29 +1,32 @@
 """Substring dedup by sliding sentence spans.
 
 From and to every sentence, the shortest run of consecutive sentences with enough words is hashed. Spans are joined over all
-documents; the first by (doc_id, sentence) of a span that repeats stays, and sentences that any other one covers go.
+documents; the first by (doc_id, sentence) of a span that repeats stays, and sentences that any other one covers go. What has
+no sentence marks for long is parted after words that their hash chooses, so that a passage is parted alike wherever it stands.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, _SPACE, _hash_spans, cut, mix64
+from ._shared import LOWER, _SPACE, _hash_spans, bounded, cut, mix64, packed, written
 
 _U = np.uint64
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _BASE, _INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 ROWS = 256
+#: Words beyond which a sentence is parted, after words whose hash leaves 0 when divided by PART.
+LONGEST, PART = 30, 5
 
 
 def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, bytes]:
     """(word hashes, the words that sentences begin with and the end, the bytes): the whole text, A-Z in lower case.
 
-    A sentence ends after a word that ends with . ! or ?, and at a line break.
+    A sentence ends after a word that ends with . ! or ?, and at a line break; one of more than LONGEST words also within.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw.translate(LOWER), dtype=np.uint8)
@@ -37,7 +40,12 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, bytes]:
     lines = np.concatenate(([0], np.cumsum(b == 10)))
     opens = np.ones(len(start), bool)
     opens[1:] = _STOP[b[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]])
-    return h, np.append(np.flatnonzero(opens), len(start)), raw
+    begin = np.append(np.flatnonzero(opens), len(start))
+    long = np.diff(begin) > LONGEST
+    if long.any():
+        opens[1:] |= np.repeat(long, np.diff(begin))[:-1] & (h[:-1] % _U(PART) == 0)
+        begin = np.append(np.flatnonzero(opens), len(start))
+    return h, begin, raw
 
 
 def _blocks(start: np.ndarray, end: np.ndarray, size: int = 100_000):
@@ -83,29 +91,38 @@ def _span_rows(docs: DataFrame, several: int, words: int, alone: int) -> DataFra
 
 
 def repeated(docs: DataFrame, several: int = 2, words: int = 25, alone: int = 50) -> DataFrame:
-    """(doc_id, spans array<struct<low, high>>): the sentences that non-first repeated spans cover, by document."""
-    rows = _span_rows(docs, several, words, alone)
-    first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
-    again = rows.join(first, "hash").filter("doc_id <> first.doc_id or low <> first.low")
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    """(doc_id, spans array<struct<low, high>>): the runs of sentences that non-first repeated spans cover, by document.
+
+    Spans are hashed once, and written as a table that goes when the result is. Their first places are a table of their own,
+    so that a hash with very many spans is one row of it, and Spark can split that hash's spans among tasks.
+    """
+    with written(_span_rows(docs, several, words, alone)) as rows:
+        first = cut(rows.groupBy("hash").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"))
+        again = rows.join(bounded(first), "hash").filter("doc_id <> first.doc_id or low <> first.low")
+        by = Window.partitionBy("doc_id").orderBy("low", "high")
+        reach = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        runs = again.select("doc_id", "low", "high", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("int").alias("opens")).withColumn("run", F.sum("opens").over(by))
+        runs = runs.groupBy("doc_id", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        return cut(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")))
 
 
-def remove_repeats(docs: DataFrame, several: int = 2, words: int = 25, alone: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, several: int = 2, words: int = 25, alone: int = 50, least: int = 40) -> DataFrame:
     """docs with the sentences that repeat earlier ones taken out, and n_sentences, n_removed, words_removed.
 
-    Spans are runs of `several` or more sentences, with at least `words` words, or single sentences of `alone` words.
+    Spans are runs of `several` or more sentences, with at least `words` words, or single sentences of `alone` words. A
+    stretch of covered sentences goes if it has `least` words.
     What stays of a text keeps its bytes. Null texts stay null and empty ones empty; rows with a null doc_id stay as they
-    are; rows that share a doc_id count as one document, and their first spans all stay. Columns of docs stay; where it
-    has one of the three names, its own column is replaced. A document's spans are gathered in one row: their number is
-    bounded by its sentences.
+    are; rows that share a doc_id count as one document, and their first spans all stay. An empty table stays empty. Columns
+    of docs stay, whatever their names; where it has one of the three names, its own column is replaced. A document's spans
+    are merged, and the runs gathered in one row: their number is bounded by its sentences.
     """
-    cover = repeated(docs, several, words, alone).withColumnRenamed("doc_id", "_doc")
-    both = docs.join(cover, docs["doc_id"].cast("bigint") == cover["_doc"], "left").drop("_doc")
+    cover = bounded(repeated(docs, several, words, alone).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans")), items="_spans")
     names = ["n_sentences", "n_removed", "words_removed"]
     kept = [c for c in docs.columns if c not in names]
-    both = both.select(*kept, F.col("spans").alias("_spans"))
+    both = packed(docs, F.col("doc_id").cast("bigint").alias("_doc")).join(cover, "_doc", "left")
+    both = both.select(*[F.col("_row").getField(c).alias(f"_{i}") for i, c in enumerate(kept)], "_spans")
     at = kept.index("text")
-    schema = docs.select(*kept).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
 
     def run(batches):
         for batch in batches:
@@ -115,12 +132,10 @@ def remove_repeats(docs: DataFrame, several: int = 2, words: int = 25, alone: in
                 for text, cuts in zip(part.column(at).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
                     h, begin, raw = sentences(text)
                     n = len(begin) - 1
-                    gone = np.zeros(n + 1, np.int64)
+                    gone = np.zeros(n, bool)
                     for c in cuts or []:
-                        if c["high"] < n:
-                            gone[c["low"]] += 1
-                            gone[c["high"] + 1] -= 1
-                    gone = np.cumsum(gone)[:n] > 0
+                        if c["high"] < n and begin[c["high"] + 1] - begin[c["low"]] >= least:
+                            gone[c["low"] : c["high"] + 1] = True
                     counts.append((n, int(gone.sum()), int((begin[1:] - begin[:-1])[gone].sum())))
                     texts.append(_without(raw, begin, gone) if gone.any() else text)
                 cols = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(len(kept))]
