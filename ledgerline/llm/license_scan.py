@@ -7,6 +7,8 @@ template's k-grams voted for it within a span of the template's size.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ LITERALS = 20_000
 
 
 def words(text: Column) -> Column:
-    """The words of a text in lower case, in order."""
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    """The words of a text in order, A-Z in lower case."""
+    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SEPARATORS), "")
 
 
 def let(value: Column, body) -> Column:
@@ -84,7 +86,7 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = 3) -> Data
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, k: int = 3, coverage: float = 0.6, shift: int = 3) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of docs(doc_id, text).
 
-    score: the share of the template's k-grams in the best verified span, at least 0.5 with a base phrase, else 0.
+    score: the share of the template's k-gram places that the best verified span holds, at least 0.5 with a base phrase, else 0.
     spans: (label, first word, word after the last). Null and empty texts have no words and empty labels. Rows that
     repeat a doc_id stay apart; other columns are ignored. The templates are a fixed table, broadcast whatever the input.
     """
@@ -95,29 +97,33 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, k: int = 3, coverage: fl
 
     def of(w: Column) -> Column:
         g = grams(w, k)
-        return F.struct(F.size(w).alias("n_words"), base_places(w).alias("base"), (F.filter(g, lambda x: x["gram"].isin(literals)) if len(literals) <= LITERALS else g).alias("grams"))
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), base_places(w).alias("base"), (F.filter(g, lambda x: x["gram"].isin(literals)) if len(literals) <= LITERALS else g).alias("grams"))
 
+    # A row's base places are summed up before its k-grams are spread: hits carry a few values each, however many places there are.
+    at = F.transform("t.base", lambda x: x["pos"].cast("bigint"))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), let(words(text), of).alias("t"))
-    rows = rows.select("rid", "doc_id", "t.n_words", "t.base", F.explode_outer("t.grams").alias("g"))
+    rows = rows.select(
+        "rid", "doc_id", "t.n_words", F.size("t.base").cast("bigint").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        F.array_sort(F.array_distinct(F.transform("t.base", lambda x: x["label"]))).alias("own"), "t.grams",
+    )
+    row = ["doc_id", "n_words", "n_base", "first_word", "last_word", "own"]
+    rows = rows.select("rid", *row, F.explode_outer("grams").alias("g"))
     hits = rows.join(F.broadcast(known), F.col("g.gram") == F.col("gram"), "left").repartition("rid")
-    kept = [F.first(c).alias(c) for c in ("doc_id", "n_words", "base")]
-    votes = hits.groupBy("rid", "template", "label", "total", (F.col("g.pos") - F.col("tpos")).alias("diagonal")).agg(F.count("tpos").alias("votes"), F.min("g.pos").alias("low"), F.max("g.pos").alias("high"), *kept)
+    kept = [F.first(c).alias(c) for c in row]
+    votes = hits.groupBy("rid", "template", "label", "total", (F.col("g.pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("places"), F.min("g.pos").alias("low"), F.max("g.pos").alias("high"), *kept)
     along = Window.partitionBy("rid", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > shift, F.lit(True)).cast("int")
     votes = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
-    spans = votes.groupBy("rid", "template", "label", "total", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), (F.max("high") + k).alias("high"), *kept)
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("total"))
+    spans = votes.groupBy("rid", "template", "label", "total", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.min("low").alias("low"), (F.max("high") + k).alias("high"), *kept)
+    # Verified: so many different places of the template stand in a span that is not much longer than the template.
+    share = F.col("places") / F.col("total")
     good = F.col("template").isNotNull() & (share >= coverage) & (F.col("high") - F.col("low") <= 1.5 * (F.col("total") + k - 1) + shift)
     got = spans.groupBy("rid").agg(
         *kept, F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max(F.when(good, share)).alias("best"),
         F.sort_array(F.collect_list(F.when(good, F.struct("low", "high", "label")))).alias("spans"),
     )
-    at = F.transform("base", lambda x: x["pos"].cast("bigint"))
-    own = F.array_distinct(F.transform("base", lambda x: x["label"]))
     return got.select(
-        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.size("base").cast("bigint").alias("n_base"),
-        F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
-        F.array_join(F.array_sort(own), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(own, F.col("more"))), ",").alias("labels"),
-        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        *row[:-1], F.array_join("own", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("own", "more")), ",").alias("labels"),
+        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
         F.transform("spans", lambda x: F.struct(x["label"].alias("label"), x["low"].cast("bigint").alias("first"), x["high"].cast("bigint").alias("end"))).alias("spans"),
     )
