@@ -9,8 +9,8 @@ not outvote the rest; the stretches of a batch are scored by one product of thei
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,22 @@ UNKNOWN = "und"
 #: Characters of a stretch; characters whose n-grams are hashed at once in training; stretches of a matrix.
 SEGMENT, PIECE = 400, 1 << 18
 ROWS = 128
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    """Whether a code point is a letter (Unicode's category L)."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
 def letters(text: str | None) -> np.ndarray | None:
     """The whole text's code points, in lower case, each run of others than letters as one space; None without letters."""
-    if not text or not _LETTER.search(text):
+    if not text:
         return None
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=_U)
-    letter = c >= 128
-    letter |= (c >= 97) & (c <= 122)
+    letter = _letter_table()[c]
+    if not letter.any():
+        return None
     c = np.where(letter, c, _U(32))
     return c[(c != 32) | np.concatenate(([True], c[:-1] != 32))]
 
@@ -87,17 +93,17 @@ def fit(samples: list[np.ndarray], langs: list[str], landmarks: int, ridge: floa
     y = np.array([names.index(v) for v in langs])
     turns = [np.flatnonzero(y == i) for i in range(len(names))]
     picked = [int(t[k]) for k in range(max(map(len, turns))) for t in turns if k < len(t)][:landmarks]
-    z = np.stack([unit(samples[i]) for i in picked]).astype(np.float64)
-    value, vector = np.linalg.eigh(z @ z.T)
+    z = np.stack([unit(samples[i]) for i in picked])
+    value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    kernel = [np.stack([unit(s) for s in samples[i : i + ROWS]]) @ z.T.astype(np.float32) for i in range(0, len(samples), ROWS)]
+    kernel = [np.stack([unit(s) for s in samples[i : i + ROWS]]) @ z.T for i in range(0, len(samples), ROWS)]
     phi = np.concatenate(kernel).astype(np.float64) @ root
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weigh = (1.0 / np.bincount(y))[y][:, None] * len(y) / len(names)  # languages count alike, however many rows
     bias = (weigh * target).mean(axis=0)
     w = np.linalg.solve(phi.T @ (weigh * phi) + ridge * len(y) * np.eye(phi.shape[1]), phi.T @ (weigh * (target - bias)))
-    return Model(names, (z.T @ (root @ w)).astype(np.float32), bias.astype(np.float32))
+    return Model(names, z.T @ (root @ w).astype(np.float32), bias.astype(np.float32))
 
 
 def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 320, langs: int = 200, stretches: int = 3) -> Model | None:
@@ -116,11 +122,15 @@ def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 320, langs: int
                     at = [presence(parts[i]) for i in sorted({k * len(parts) // stretches for k in range(stretches)})]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([row["doc_id"]] * len(at), pa.int64()), "lang": [row["lang"]] * len(at), "at": pa.array(at, pa.list_(pa.int32()))})
 
-    got = sample_by_label(rows, "lang", per_lang, langs).mapInArrow(grams, "doc_id bigint, lang string, at array<int>").collect()
-    if not got:
+    got = sample_by_label(rows, "lang", per_lang, langs).mapInArrow(grams, "doc_id bigint, lang string, at array<int>").toArrow().combine_chunks()
+    if not got.num_rows:
         return None
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["at"]))
-    return fit([np.asarray(r["at"]) for r in got], [r["lang"] for r in got], landmarks)
+    at = got["at"].combine_chunks()
+    flat, ends = at.flatten().to_numpy(), np.cumsum(np.concatenate(([0], np.asarray(at.value_lengths()))))
+    samples = [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+    ids, names = got["doc_id"].to_pylist(), got["lang"].to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (ids[i] is None, ids[i] or 0, names[i], len(samples[i]), samples[i].tobytes()))
+    return fit([samples[i] for i in order], [names[i] for i in order], landmarks)
 
 
 def predict(model: Model | None, texts: list[str | None]) -> Iterator[tuple[int, str, float]]:
@@ -179,7 +189,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The documents whose language is known with a score of at least `least`; columns as in docs."""
+    """The documents whose language is known with a score of at least `least`; columns as in docs.
+
+    Null and empty texts and those without letters go, and all if nothing was learned. Repeated rows are each judged by
+    their text, whatever their doc_id, null or not; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -191,4 +205,5 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) ->
                 keep[i] = score >= least
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
