@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a benchmark question with other values has the same template.
-Windows of template tokens are hash-joined; a window's placeholder values (slots) travel along, and an item counts
-against a document if its matched windows cover enough of it and its slots are filled consistently: one value of the
-item stands for one value of the document throughout.
+Windows of template tokens that hold a literal word are hash-joined; a window's placeholder values (slots) travel along.
+An item counts against a document if, at one shift or along neighbouring ones, its matched windows cover enough of it and
+its slots are filled consistently there: one value of the item stands for one value of the document throughout.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded, cut, mix64
+from ._shared import bounded, cut, mix64, packed, text_key, unpacked
 
 _U = np.uint64
 #: Units that a number may carry, and number words.
@@ -88,19 +88,23 @@ def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, eit
 
     Windows with names are hashed with these as words too, for copies in another letter case; with `either`, those with a
     capitalised first word also with that one alone the other way, as what stands before it decides whether it is a name.
+    Windows of placeholders alone say nothing and are left out.
     """
     h, slot, word, capital, tokens = templates(text)
     named = slot == _NAME
     names = np.concatenate(([0], np.cumsum(named)))
     plain, bare = np.where(named, word, h), np.where(named, 0, slot)
     turned = np.where(named, word, _U(_NAME))
+    filled, also = (np.concatenate(([0], np.cumsum(x > 0))) for x in (slot, bare))
     for k in sizes:
         n = len(h) - k + 1
         if n < 1:
             continue
-        forms = [(windows(h, k), np.arange(n), slot, False), (windows(plain, k), np.flatnonzero(names[k:] > names[:-k]), bare, False)]
+        slots, others = filled[k:] - filled[:-k], also[k:] - also[:-k]
+        forms = [(windows(h, k), np.flatnonzero(slots < k), slot, False), (windows(plain, k), np.flatnonzero((names[k:] > names[:-k]) & (others < k)), bare, False)]
         if either:
-            forms.append((windows(h, k, turned), np.flatnonzero(capital[:n]), slot, True))
+            there = np.where(slot[:n] > 0, slots - 1, slots + 1)
+            forms.append((windows(h, k, turned), np.flatnonzero(capital[:n] & (there < k)), slot, True))
         for w, at, kinds, turn in forms:
             if wanted is not None and len(at):
                 place = np.minimum(np.searchsorted(wanted, w[at]), len(wanted) - 1)
@@ -131,52 +135,78 @@ def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted=None, either:
                         rows = []
                 yield _table(rows, key)
 
-    return df.select(F.col(key).cast("bigint").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} bigint, k int, pos bigint, hash bigint, slots array<string>")
+    return df.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} bigint, k int, pos bigint, hash bigint, slots array<string>")
+
+
+def _key(row_id: Column, text: str = "text") -> Column:
+    """Names a row by its id and text: rows that share both are one, rows with a null id are told apart by their text."""
+    t = text_key(text)
+    return F.xxhash64(F.lit(3), row_id.isNull(), row_id, t["a"], t["b"], t["n"])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 8, cover: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, cover, exact, consistent) of the pairs whose matched windows cover `cover` of the item.
+    """(doc, item, item_id, cover, exact) of the documents and items that meet consistently; doc is a row's _key.
 
-    exact: no slot has another value than the item's. Items shorter than k tokens match as a whole; empty ones never.
-    Null and empty texts match nothing; rows that share a doc_id count as one document. A null id is skipped.
+    The windows of one shift (place in the document less place in the item), or of a run of shifts no more than k apart,
+    as where words were put in, must cover `cover` of the item's with each value of the item standing for one value of the
+    document. exact: none has another value than the item's. Items shorter than k tokens match as a whole; empty ones, and
+    those without a literal word in any window, never. Items are told apart by id and text; a null id is an item like
+    others. Null and empty texts match nothing; each row is judged by its own text, whatever its doc_id.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null")
+    item_id, doc_id = F.col("item_id").cast("bigint"), F.col("doc_id").cast("bigint")
+    items = benchmark.select(_key(item_id).alias("item"), item_id.alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["item"])
 
     def length(batches):
         t = Templates()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t(x)[0]) for x in batch.column(1).to_pylist()], pa.int64())], names=["item_id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t(x)[0]) for x in batch.column(1).to_pylist()], pa.int64())], names=["item", "n"])
 
-    sizes = items.select("item_id", F.col("text").cast("string")).mapInArrow(length, "item_id bigint, n bigint").filter("n > 0").select("item_id", F.least("n", F.lit(k)).cast("int").alias("size"))
-    sizes = cut(sizes.dropDuplicates(["item_id"]))
+    sizes = cut(items.select("item", "text").mapInArrow(length, "item bigint, n bigint").filter("n > 0").select("item", F.least("n", F.lit(k)).cast("int").alias("size")))
     found = sorted(r[0] for r in sizes.select("size").distinct().collect())
-    known = _window_rows(items.dropDuplicates(["item_id"]), "item_id", found).join(sizes, "item_id").filter("k = size").drop("size")
-    known = cut(known)
-    totals = known.groupBy("item_id").agg(F.count_distinct("pos").alias("total"))
+    known = cut(_window_rows(items, "item", found).join(sizes, "item").filter("k = size").drop("size"))
+    totals = known.groupBy("item").agg(F.count_distinct("pos").alias("total"))
     held = known.select("hash").distinct()
     n = held.limit(HELD + 1).count()
-    wanted = spark.sparkContext.broadcast(np.sort(held.toPandas()["hash"].to_numpy().view(np.uint64))) if 0 < n <= HELD else None
-    ours = _window_rows(docs.filter("doc_id is not null"), "doc_id", found, wanted, True) if n else _window_rows(docs.limit(0), "doc_id", [])
-    theirs = known.select("item_id", "k", "hash", F.col("pos").alias("at"), F.col("slots").alias("was"))
-    met = cut(ours.join(bounded(theirs), ["k", "hash"]))
-    pairs = met.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n")).join(bounded(totals), "item_id").withColumn("cover", F.col("n") / F.col("total")).filter(F.col("cover") >= cover)
-    # One place of the item and document, by diagonal, decides: values are compared along the same shift.
-    lines = met.withColumn("shift", F.col("pos") - F.col("at")).withColumn("pair", F.explode_outer(F.arrays_zip("was", "slots")))
-    lines = lines.groupBy("doc_id", "item_id", "shift", "pair.was").agg(F.count_distinct("pair.slots").alias("values"), F.max((F.col("pair.was") != F.col("pair.slots")).cast("int")).alias("other"))
-    lines = lines.groupBy("doc_id", "item_id", "shift").agg(F.max("values").alias("values"), F.coalesce(F.max("other"), F.lit(0)).alias("other"))
-    slots = lines.groupBy("doc_id", "item_id").agg(F.min("other").alias("other"), F.min("values").alias("values"))
-    return pairs.join(slots, ["doc_id", "item_id"]).select("doc_id", "item_id", "cover", (F.col("other") == 0).alias("exact"), (F.col("values") <= 1).alias("consistent"))
+    wanted = spark.sparkContext.broadcast(np.sort(held.toArrow()["hash"].to_numpy().view(np.uint64))) if 0 < n <= HELD else None
+    ours = _window_rows(docs.select(_key(doc_id).alias("doc"), "text"), "doc", found, wanted, True) if n else _window_rows(docs.select(_key(doc_id).alias("doc"), "text").limit(0), "doc", [])
+    theirs = known.select("item", "k", "hash", F.col("pos").alias("at"), F.col("slots").alias("was"))
+    met = cut(ours.join(bounded(theirs), ["k", "hash"]).withColumn("shift", F.col("pos") - F.col("at")))
+    if wanted is not None:
+        wanted.destroy()
+    # Each shift by itself, and runs of neighbouring ones together.
+    by = Window.partitionBy("doc", "item").orderBy("shift")
+    shifts = met.select("doc", "item", "shift").distinct().withColumn("opens", F.coalesce(F.col("shift") - F.lag("shift").over(by) > k, F.lit(True)).cast("bigint"))
+    shifts = shifts.withColumn("run", F.sum("opens").over(by)).drop("opens")
+    scopes = F.explode(F.array(F.struct(F.lit(0).alias("scope"), F.col("shift").alias("place")), F.struct(F.lit(1).alias("scope"), F.col("run").alias("place"))))
+    rows = cut(met.join(shifts, ["doc", "item", "shift"]).select("doc", "item", "at", F.arrays_zip("was", "slots").alias("pairs"), scopes.alias("s")).select("doc", "item", "s.scope", "s.place", "at", "pairs"))
+    line = ["doc", "item", "scope", "place"]
+    covered = rows.groupBy(*line).agg(F.count_distinct("at").alias("n"))
+    covered = covered.join(bounded(totals), "item").withColumn("cover", F.col("n") / F.col("total")).filter(F.col("cover") >= cover)
+    values = rows.select(*line, F.explode("pairs").alias("p")).groupBy(*line, "p.was").agg(F.count_distinct("p.slots").alias("values"), F.max((F.col("p.was") != F.col("p.slots")).cast("int")).alias("other"))
+    values = values.groupBy(*line).agg(F.max("values").alias("values"), F.max("other").alias("other"))
+    good = covered.join(values, line, "left").filter(F.coalesce("values", F.lit(0)) <= 1)
+    good = good.groupBy("doc", "item").agg(F.max("cover").alias("cover"), F.max(F.coalesce("other", F.lit(0)) == 0).alias("exact"))
+    return good.join(bounded(items.select("item", "item_id")), "item").select("doc", "item", "item_id", "cover", "exact")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, cover: float = 0.5) -> DataFrame:
-    """(doc_id, contaminated, item_ids, cover, exact) for each row of docs(doc_id, text): items found with consistent slots."""
-    found = contaminations(docs, benchmark, k, cover).filter("consistent").groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("cover").alias("cover"), F.max("exact").alias("exact"))
-    found = bounded(cut(found))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("cover", F.lit(0.0)).alias("cover"), F.coalesce("exact", F.lit(False)).alias("exact"))
+    """(doc_id, contaminated, item_ids, cover, exact) for each row of docs(doc_id, text): items found with consistent slots.
+
+    item_ids has no null ids, though their items count. Every row is judged by its own text; other columns are ignored. An
+    empty benchmark finds nothing.
+    """
+    found = contaminations(docs, benchmark, k, cover).groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("cover").alias("cover"), F.max("exact").alias("exact"))
+    found = bounded(cut(found), items="item_ids")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key(F.col("doc_id").cast("bigint")).alias("doc")).join(found, "doc", "left")
+    return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("cover", F.lit(0.0)).alias("cover"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, cover: float = 0.5) -> DataFrame:
-    """The documents that no item was found in; columns as in docs."""
-    found = bounded(cut(contaminations(docs, benchmark, k, cover).filter("consistent").select("doc_id").distinct()))
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that no item was found in; columns as in docs.
+
+    Rows with null or empty texts stay; those with a null doc_id, and rows that repeat one, are judged by their text.
+    """
+    found = bounded(cut(contaminations(docs, benchmark, k, cover).select(F.col("doc").alias("_doc")).distinct()))
+    rows = packed(docs, _key(F.col("doc_id").cast("bigint")).alias("_doc"))
+    return unpacked(rows.join(found, "_doc", "left_anti"), docs.columns)
