@@ -76,18 +76,20 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 16,
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. Null and
     zero vectors and those with null or non-finite components take no part; vectors of another length than a query's are
-    not its candidates. A row that repeats its query's vec_id is none either. `share` of a block's rows, at least 20 k,
-    are met before a query stops ascending: vectors with no structure need that much for a recall of 0.9.
+    not its candidates. A query's own row is none either, but other rows with its vec_id are, and rows that repeat a query
+    whole are queries each, with k results each. `share` of a block's rows, at least 20 k, are met before a query stops
+    ascending: vectors with no structure need that much for a recall of 0.9.
     """
     rows = usable(vectors)
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     blocks, groups = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-sizes["q"] // QUERIES))
     data = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks).cast("bigint")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "v")
-    ask = rows.filter(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v")
+    ask = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    ask = ask.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v", F.xxhash64("v").alias("mark"), "copies")
 
     def search(data: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        ids, qids = data["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
+        ids, qids, marks, copies = data["vec_id"].to_numpy(), *(ask[c].to_numpy() for c in ("vec_id", "mark", "copies"))
         length, qlength = (np.asarray(pc.list_value_length(t["v"].combine_chunks())) for t in (data, ask))
         for d in np.unique(qlength):
             at, qat = np.flatnonzero(length == d), np.flatnonzero(qlength == d)
@@ -98,13 +100,19 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 16,
             q = ask["v"].combine_chunks().take(pa.array(qat)).flatten().to_numpy().reshape(-1, d)
             forest = Forest(x, trees, seed)
             for i, met in enumerate(forest.candidates(q, max(20 * k, int(share * len(x))))):
-                met = met[ids[order[met]] != qids[qat[i]]]
+                own = met[ids[order[met]] == qids[qat[i]]]
+                if len(own := own[(x[own] == q[i]).all(axis=1)]):  # equal vectors share all prefixes, so they are met if any is
+                    met = met[met != own[0]]
                 dist = np.sqrt(((x[met] - q[i]) ** 2).sum(axis=1))
                 best = np.lexsort((ids[order[met]], dist))[:k]
-                out.append((np.full(len(best), qids[qat[i]]), ids[order[met[best]]], dist[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = data.groupBy("block", "part").cogroup(ask.groupBy("block", "part")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                n = len(best)
+                out.append((np.full(n, qids[qat[i]]), np.full(n, marks[qat[i]]), np.full(n, copies[qat[i]]), ids[order[met[best]]], dist[best]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        names = ("query_id", "mark", "copies", "vec_id", "score")
+        return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in zip(names, cols, strict=True)})
+
+    found = data.groupBy("block", "part").cogroup(ask.groupBy("block", "part")).applyInArrow(search, "query_id bigint, mark bigint, copies bigint, vec_id bigint, score double")
+    best = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", each.alias("_copy")).drop("_copy")
