@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters look at a whole text and vote toxic, clean or nothing: short lexicons, patterns, and words and word beginnings
-that the bounded labelled sample shows to be telling. A generative label model estimates by EM how accurate each voter
-is; voters that vote together beyond what it explains share their weight. A linear classifier on hashed words and word
-beginnings is then trained on the posterior labels, and scores every document.
+Voters look at a whole text and vote toxic or nothing: each word of short lexicons, patterns, and words and word beginnings
+that the bounded labelled sample shows to be telling. A generative label model estimates by EM, from the votes alone, how
+accurate each voter is; voters that vote together beyond what it explains share their weight. A sparse linear classifier on
+hashed words and word beginnings is then trained on the posterior labels, and scores every document.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ PATTERNS = {
 }
 #: Hashed features; word beginnings of these many letters besides whole words.
 BITS, BEGIN = 18, (3, 4, 5, 6)
-#: Mined voters at most, and the sample documents a feature must stand in.
-MINED, SUPPORT = 400, 6
+#: Mined voters at most, the sample documents a feature must stand in, other features of the classifier at most, its penalty.
+MINED, SUPPORT, MOST, PENALTY = 400, 6, 600, 2e-4
 _WORD = re.compile(r"[^\W\d_]+")
 _SEEN_WORDS = 300_000
 _patterns = [re.compile(p) for p in PATTERNS.values()]
@@ -74,10 +74,15 @@ def _hash(part: str) -> int:
     return h >> (64 - BITS)
 
 
+#: One voter for each word of the lexicons and each pattern.
+_LEXICON = {w: i for i, w in enumerate(dict.fromkeys(w for lex in LEXICONS.values() for w in lex))}
+FIXED = len(_LEXICON) + len(PATTERNS)
+
+
 def fixed_votes(text: str | None, words: set[str]) -> list[int]:
-    """1 (toxic) or 0 (no vote) of each lexicon and pattern."""
+    """The fixed voters that vote toxic on a text: places of lexicon words, then of patterns."""
     low = (text or "").lower()
-    return [int(any(w in words for w in lex)) for lex in LEXICONS.values()] + [int(bool(p.search(low))) for p in _patterns]
+    return [i for w, i in _LEXICON.items() if w in words] + [len(_LEXICON) + i for i, p in enumerate(_patterns) if p.search(low)]
 
 
 def mine(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -110,16 +115,15 @@ def mine(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.asarray(out, dtype=np.int64)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior probability of label 1 by row: EM over conditionally independent voters with shared weights.
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Posterior probability of label 1 by row, from the votes alone: EM over voters whose correlations share their weight.
 
-    votes: 1 or 0 (silence, which also tells something) by row and voter; gold: the given labels, one more, strong voter.
-    A voter's weight is 1 over 1 plus its summed residual correlations with the others, so copies of one voter count once.
+    votes: 1, or 0 where a voter abstains, by row and voter; that all abstain is an event of its own. The posterior begins
+    at `start`, which tells the model which of its two classes is the toxic one and is forgotten after the first round. A
+    voter's weight is 1 over 1 plus its summed residual correlations with the others, so copies of one voter count once.
     """
-    prior = float(np.clip(gold.mean(), 0.01, 0.5)) if len(gold) else 0.1
-    post = np.clip(0.9 * gold + 0.1 * prior, 1e-3, 1 - 1e-3)
-    weight = np.ones(votes.shape[1])
-    error = 0.05  # of the given labels, to begin with
+    silent = ~votes.any(axis=1)
+    post, weight = start.copy(), np.ones(votes.shape[1])
     for turn in range(rounds):
         hit = (post @ votes + 0.3) / (post.sum() + 1.0)
         miss = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1.0)
@@ -130,79 +134,117 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.nda
             np.fill_diagonal(corr, 0)
             weight = 1.0 / (1.0 + np.where(corr > 0.1, corr, 0).sum(axis=1))
         prior = float(np.clip(post.mean(), 1e-3, 0.999))
-        up = np.log(hit / miss)
-        off = np.log((1 - hit) / (1 - miss))
-        logit = np.log(prior / (1 - prior)) + votes @ (weight * up) + (1 - votes) @ (weight * np.clip(off, -0.05, 0.05))
-        logit += np.where(gold == 1, np.log((1 - error) / error), np.log(error / (1 - error)))
+        none = np.log((post[silent].sum() + 0.05) / (post.sum() + 1.0)) - np.log(((1 - post)[silent].sum() + 1.0) / ((1 - post).sum() + 1.0))
+        logit = np.log(prior / (1 - prior)) + votes @ (weight * np.log(hit / miss)) + silent * none
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error = float(np.clip(np.abs(gold - new).mean(), 0.002, 0.2))
         if np.abs(new - post).max() < 1e-4:
             break
         post = new
     return post
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence features with adaptive steps; rows in a fixed seeded order."""
-    w, b = np.zeros(1 << BITS), float(np.log(np.clip(target.mean(), 1e-3, 0.999) / (1 - np.clip(target.mean(), 1e-3, 0.999))))
-    seen = np.full(1 << BITS, 1e-8)
-    bias_seen = 1e-8
-    rng = np.random.default_rng(5)
-    order = np.arange(len(rows))
-    for _ in range(epochs):
-        rng.shuffle(order)
-        for i in order:
-            at = rows[i]
-            s = 1.0 / np.sqrt(max(1, len(at)))
-            g = 1 / (1 + np.exp(-np.clip(w[at].sum() * s + b, -30, 30))) - target[i]
-            if abs(g) < 1e-3:
-                continue
-            step = g * s + decay * w[at]
-            seen[at] += step * step
-            w[at] -= rate * step / np.sqrt(seen[at])
-            bias_seen += g * g
-            b -= 0.05 * g / np.sqrt(bias_seen)
-    return w, b
+def fit_linear(x: np.ndarray, target: np.ndarray, weigh: np.ndarray, penalty: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """(weights, bias) of logistic regression on soft labels with an L1 penalty: accelerated proximal steps."""
+    weigh = weigh / weigh.sum()
+    scaled = x * np.sqrt(weigh)[:, None]
+    v = np.ones(x.shape[1]) / max(1, x.shape[1]) ** 0.5
+    for _ in range(20):
+        u = scaled.T @ (scaled @ v)
+        v = u / (np.linalg.norm(u) + 1e-12)
+    step = 1.0 / (0.25 * 1.1 * (np.linalg.norm(u) + 1.0) + 1e-9)
+    share = float(np.clip(weigh @ target, 1e-3, 0.999))
+    w, b = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
+    y, c, t = w.copy(), b, 1.0
+    for _ in range(rounds):
+        g = weigh * (1 / (1 + np.exp(-np.clip(x @ y + c, -30, 30))) - target)
+        new = y - step * (x.T @ g)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        bias = c - step * g.sum()
+        t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        y, c = new + (was - 1) / t * (new - w), bias + (was - 1) / t * (bias - b)
+        w, b = new, bias
+    return w, float(b)
 
 
 class Model:
-    """Weights of the hashed features."""
+    """A linear classifier: weights of the hashed features, which a text's features add up, whatever its length."""
 
-    def __init__(self, weights: np.ndarray, bias: float, strong: np.ndarray) -> None:
-        self.weights, self.bias, self.strong = weights, bias, strong
+    def __init__(self, weights: np.ndarray, bias: float) -> None:
+        self.weights, self.bias = weights.astype(np.float32), bias
         self.slope, self.shift = 1.0, 0.0
 
     def raw(self, at: np.ndarray) -> float:
-        return float(self.bias + self.weights[at].sum() / np.sqrt(max(1, len(at))))
+        return float(self.bias + self.weights[at].sum(dtype=np.float64))
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> None:
-        """Slope and shift of the log odds by weighted logistic regression on rows that the weights have not seen."""
-        if not len(y):
-            return
-        if not 0 < y.sum() < len(y):
-            self.shift = float(-z.max() - 3.0) if not y.any() else 0.0
+        """Slope and shift of the log odds by weighted logistic regression on labelled rows that the weights have not seen."""
+        if not len(y) or not 0 < y.sum() < len(y):
             return
         x = np.stack([z, np.ones_like(z)], axis=1)
         c = np.array([1.0, 0.0])
         weigh = weigh / weigh.mean()
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-            step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (weigh * (p - y)) + 1e-2 * (c - [1.0, 0.0]))
+            step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(2), x.T @ (weigh * (p - y)) + 1e-1 * (c - [1.0, 0.0]))
             c = c - np.clip(step, -2, 2)
         self.slope, self.shift = float(max(c[0], 0.1)), float(c[1])
 
     def score(self, at: np.ndarray) -> float:
-        """A feature that tells on its own is not thinned out by the length of the text around it."""
-        z = self.slope * self.raw(at) + self.shift
-        if len(at) and len(near := at[self.strong[at] > 0]):
-            z = max(z, float(self.strong[near].max()))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.raw(at) + self.shift, -30, 30))))
+
+
+def telling(at: list[np.ndarray], target: np.ndarray, weigh: np.ndarray, most: int) -> np.ndarray:
+    """The features whose presence moves the share of the target most, by their weighted score statistic."""
+    every, toxic, count = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, np.int64)
+    for x, p, w in zip(at, target, weigh, strict=True):
+        every[x] += w
+        toxic[x] += w * p
+        count[x] += 1
+    share = weigh @ target / weigh.sum()
+    gain = np.where(count >= SUPPORT, (toxic - share * every) ** 2 / np.maximum(every, 1e-9), 0)
+    best = np.argsort(-gain, kind="stable")[:most]
+    return best[gain[best] > 0]
+
+
+def learn(at: list[np.ndarray], fixed: list[list[int]], y: np.ndarray, totals: dict[int, int]) -> Model:
+    """A model of labelled rows: their features, the fixed voters' votes, labels, and how many rows of each label there are.
+
+    Labels choose the mined voters, start the label model and calibrate the scores; the classifier learns from the
+    posterior of the voters. Every fourth row is kept for the calibration.
+    """
+    later = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
+    weigh = np.where(y == 1, totals.get(1, 1) / max(1.0, y.sum()), totals.get(0, 1) / max(1.0, (1 - y).sum()))
+    now = np.flatnonzero(~later)
+    found = mine([at[i] for i in now], y[now])
+    place = np.full(1 << BITS, -1)
+    place[found] = np.arange(len(found))
+    votes = np.zeros((len(now), FIXED + len(found)))
+    for r, i in enumerate(now):
+        votes[r, fixed[i]] = 1
+        votes[r, FIXED + place[at[i]][place[at[i]] >= 0]] = 1
+    start = np.clip(0.9 * y[now] + 0.05, 0.05, 0.95)
+    post = label_model(votes, start)
+    own = [at[i] for i in now]
+    kept = np.unique(np.concatenate((found, telling(own, post, weigh[now], MOST))))
+    place[:] = -1
+    place[kept] = np.arange(len(kept))
+    x = np.zeros((len(now), len(kept)), dtype=np.float32)
+    for r, a in enumerate(own):
+        x[r, place[a][place[a] >= 0]] = 1
+    w, bias = fit_linear(x, post, weigh[now], PENALTY)
+    weights = np.zeros(1 << BITS)
+    weights[kept] = w
+    model = Model(weights, bias)
+    check = np.flatnonzero(later)
+    model.calibrate(np.array([model.raw(at[i]) for i in check]), y[check], weigh[check])
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> Model | None:
     """A model from at most about per_label labelled documents of each label, none held out.
 
-    That sample is bounded by this parameter; its ids are broadcast, and executors turn its texts into features.
+    That sample is bounded by this parameter, whatever the input: its ids are broadcast, executors turn its texts into
+    features, and one row of each id (of rows that repeat an id, the least) reaches the driver. None without such rows.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -216,35 +258,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> Model |
                 at, words = features(text)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "toxic": pa.array([y], pa.int32()), "at": pa.array([np.sort(at)], pa.list_(pa.int32())), "votes": pa.array([fixed_votes(text, words)], pa.list_(pa.int32()))})
 
-    got = rows.mapInArrow(run, "doc_id bigint, toxic int, at array<int>, votes array<int>").toArrow()
+    got = rows.mapInArrow(run, "doc_id bigint, toxic int, at array<int>, votes array<int>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("toxic", "at", "votes")).alias("r")).select("doc_id", "r.*").toArrow().combine_chunks()
     if not got.num_rows:
         return None
-    ids, y = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(float)
-    at = [np.asarray(x, dtype=np.int64) for x in got["at"].to_pylist()]
-    order = np.lexsort(([len(x) for x in at], y, ids))
-    y, at = y[order], [at[i] for i in order]
-    fixed = np.asarray(got["votes"].to_pylist(), dtype=float)[order]
-    found = mine(at, y)
-    place = np.full(1 << BITS, -1)
-    place[found] = np.arange(len(found))
-    mined = np.zeros((len(at), len(found)))
-    for i, x in enumerate(at):
-        mined[i, place[x][place[x] >= 0]] = 1
-    votes = np.hstack([fixed, mined])
-    post = label_model(votes, y)
-    weigh = np.where(y == 1, totals.get(1, 1) / max(1.0, y.sum()), totals.get(0, 1) / max(1.0, (1 - y).sum()))
-    strong = np.zeros(1 << BITS)
-    toxic, every = mined.T @ (weigh * post), mined.T @ weigh
-    share = (toxic + 0.1) / (every + 1.0)
-    sure = share > 0.8
-    strong[found[sure]] = np.log(share[sure] / (1 - share[sure]))
-    told = np.array([bool((strong[x] > 0).any()) for x in at])
-    later = np.arange(len(y)) % 4 == 3  # of every fourth row, those with no strong feature tell how the other scores are to be read
-    weights, bias = fit_linear([at[i] for i in np.flatnonzero(~later)], post[~later])
-    model = Model(weights, bias, strong)
-    later &= ~told
-    model.calibrate(np.array([model.raw(at[i]) for i in np.flatnonzero(later)]), y[later], weigh[later])
-    return model
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    flat = got["at"].combine_chunks()
+    values, ends = flat.flatten().to_numpy(), np.cumsum(np.concatenate(([0], np.asarray(flat.value_lengths()))))
+    votes = got["votes"].to_pylist()
+    return learn([values[ends[i] : ends[i + 1]] for i in order], [votes[i] for i in order], got["toxic"].to_numpy().astype(float)[order], totals)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, cut_at: float = 0.3) -> DataFrame:
