@@ -1,9 +1,11 @@
 """Secret scans in DataFrame functions only: base patterns, and a randomness test battery over long tokens.
 
 A token's encoding is inferred from its characters. Uniformity of its alphabet (chi-squared), runs about the middle of
-the alphabet and lag-1 serial correlation are tested and combined; a token stays if it looks random. How unlikely an
-ordinary identifier of its length would change between digits, small and capital letters so often (for letters of one
-case: how unlike ordinary text they are) is a second p-value, which shrinks with length; the Benjamini-Hochberg procedure over all tokens of all documents sets its limit.
+the alphabet and lag-1 serial correlation are tested and combined into one p-value of randomness. How unlikely an ordinary
+identifier of its length would change between digits, small and capital letters so often (for letters of one case: how
+unlike ordinary text they are) is a second p-value, which shrinks with length. Over all tokens of all documents, the
+Benjamini-Hochberg procedure rules out on the first those that are not random, and finds on the second those that are not
+ordinary; what is neither ruled out nor ordinary is a secret.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import bounded, cut, packed, text_key, unpacked
 
 #: The base patterns in the order of their kinds, the group whose length counts, and its least length.
 BASE = (
@@ -143,44 +145,56 @@ def discovery_limit(counts: dict[int, int], rate: float) -> int:
     return limit
 
 
-def find_spans(rows: DataFrame, rate: float = 0.01, random_p: float = 1e-3) -> DataFrame:
-    """(rid, kind, start, end) of the secrets in rows(rid, text): code points, end exclusive."""
+def find_spans(rows: DataFrame, keep: list[str], rate: float = 0.01, random_rate: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """((rid, keep...) of every row, (rid, kind, start, end) of the secrets) of rows(text, keep...): code points, end exclusive.
+
+    random_rate: the share of random tokens among those that the battery rules out, at most; rate: that of ordinary ones
+    among those taken for secrets.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,len:int,size:int,token:string>>")
     parts = [_matches(text, k, LONG.get(k, p), g, QUICK[k]) for k, p, g, _ in BASE] + [_matches(text, "random", TOKEN, 0, TOKEN)]
-    found = rows.select("rid", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("x")).select("rid", "x.*")
-    # Tokens are tested where their text is read, before any exchange could gather these few rows in one task.
-    found = cut(found.withColumn("b", battery(F.col("token"))).select("rid", "kind", "i", "gap", "len", "size", "b.uniform_p", "b.ordinary"))
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), *keep, "text")
+    found = rows.select("rid", *keep, F.explode_outer(F.concat(*[F.coalesce(p, none) for p in parts])).alias("x")).select("rid", *keep, "x.*")
+    # Tokens are tested where their text is read, before any exchange could gather these few rows in one task. Rows without
+    # a match stay: rids are drawn once, and nothing is joined back to the texts by them.
+    found = cut(found.withColumn("b", battery(F.col("token"))).select("rid", *keep, "kind", "i", "gap", "len", "size", "b.uniform_p", "b.ordinary"))
+    every = found.filter("i is null or i = 0").select("rid", *keep).distinct()
     upto = Window.partitionBy("rid", "kind").orderBy("i")
-    placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
+    placed = found.filter("kind is not null").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, _, _, n in BASE])
-    base = placed.filter(F.col("kind") != "random").filter(F.col("size") >= least).select("rid", "kind", "start", "end")
-    in_bin = F.least(F.lit(BINS), F.floor(F.col("ordinary") * BIN)).cast("int").alias("bin")
-    limit = discovery_limit({r["bin"]: r["count"] for r in found.filter("kind = 'random'").groupBy(in_bin).count().collect()}, rate)
-    tested = placed.filter("kind = 'random'").withColumn("bin", in_bin).filter((F.col("bin") >= limit) & (F.col("uniform_p") >= random_p)).select("rid", "kind", "start", "end")
-    both = base.unionByName(tested)
-    # A random token that overlaps a base span says nothing new: the furthest base end before its own is past its start.
-    seen = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    unlike = F.least(F.lit(BINS), F.floor(F.col("ordinary") * BIN)).cast("int").alias("unlike")
+    uneven = F.least(F.lit(BINS), F.floor(-F.log10(F.greatest("uniform_p", F.lit(1e-300))) * BIN)).cast("int").alias("uneven")
+    counts = found.filter("kind = 'random'").groupBy(unlike, uneven).count().collect()
+    sums: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for r in counts:
+        for at, b in zip(sums, r[:2], strict=True):
+            at[b] = at.get(b, 0) + r["count"]
+    limit, ruled_out = discovery_limit(sums[0], rate), discovery_limit(sums[1], random_rate)
+    wanted = F.when(F.col("kind") == "random", (unlike >= limit) & (uneven < ruled_out)).otherwise(F.col("size") >= least)
+    both = placed.filter(wanted).select("rid", "kind", "start", "end")
+    # A random token that overlaps a base span says nothing new: no base span that starts before it may reach into it, none
+    # may start in it. Both frames grow from one end, so a text's spans are passed over once each way.
     own = F.col("kind") != "random"
+    seen = Window.partitionBy("rid").orderBy("start", "end", own.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = both.withColumn("reach", F.max(F.when(own, F.col("end"))).over(seen)).withColumn("next", F.min(F.when(own, F.col("start"))).over(later))
-    return marked.filter(own | ((F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next"), F.col("end")) >= F.col("end")))).drop("reach", "next")
+    return every, marked.filter(own | ((F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next"), F.col("end")) >= F.col("end")))).drop("reach", "next")
 
 
 def scan_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_spans, spans) for each row of docs(doc_id, text).
 
     Spans are arrays of (start, place of the kind, kind, end) in that order. Null and empty texts have none. Rows that
-    repeat a doc_id stay apart; other columns are ignored.
+    repeat a doc_id, and those with a null one, stay apart; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    spans = find_spans(rows, rate)
+    every, spans = find_spans(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id"], rate)
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, (k, *_) in enumerate(BASE)], F.lit(len(BASE)))
     each = spans.groupBy("rid").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k, *_ in BASE],
         F.sort_array(F.collect_list(F.struct("start", order.alias("place"), "kind", "end"))).alias("spans"),
     )
-    all_ = rows.select("rid", "doc_id").join(each, "rid", "left")
+    all_ = every.join(each, "rid", "left")
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
     return all_.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k, *_ in BASE], F.coalesce(F.filter("spans", lambda x: x["place"] < len(BASE)), none).alias("base_spans"), F.coalesce("spans", none).alias("spans"))
 
@@ -191,15 +205,20 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01) -> DataFrame:
-    """docs(…, text, …) with every secret replaced by the mark; all rows stay, columns as in docs."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    spans = find_spans(rows.select(F.col("_rid").alias("rid"), "text"), rate)
+    """docs(..., text, ...) with every secret replaced by the mark; all rows stay, columns as in docs, whatever their names.
+
+    Null texts stay null and empty ones empty. Spans go back to the texts by the text itself, so rows that repeat one are
+    all redacted alike, whatever their doc_id.
+    """
+    every, spans = find_spans(docs.select(text_key().alias("key"), "text"), ["key"], rate)
     by = Window.partitionBy("rid").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     merged = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by)).groupBy("rid", "run").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    cuts = merged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
-    both = rows.join(cuts, rows["_rid"] == cuts["rid"], "left")
-    pieces = F.transform("cuts", lambda x, i: F.substring("text", F.when(i == 0, 1).otherwise(F.get("cuts", i - 1)["e"] + 1).cast("int"), (x["s"] - F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["e"])).cast("int")))
-    rest = F.substring("text", (F.element_at("cuts", -1)["e"] + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, mark), F.lit(mark), rest))
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cuts = merged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_cuts"))
+    cuts = bounded(cut(cuts.join(every, "rid").groupBy(F.col("key").alias("_key")).agg(F.first("_cuts").alias("_cuts"))), items="_cuts")
+    both = packed(docs, text_key().alias("_key")).join(cuts, "_key", "left")
+    whole = F.col("_row").getField("text")
+    pieces = F.transform("_cuts", lambda x, i: F.substring(whole, F.when(i == 0, 1).otherwise(F.get("_cuts", i - 1)["e"] + 1).cast("int"), (x["s"] - F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["e"])).cast("int")))
+    rest = F.substring(whole, (F.element_at("_cuts", -1)["e"] + 1).cast("int"), F.length(whole))
+    text = F.when(F.col("_cuts").isNull(), whole).otherwise(F.concat(F.array_join(pieces, mark), F.lit(mark), rest))
+    return unpacked(both, docs.columns, text=text)
