@@ -69,6 +69,18 @@ def merge_count(raw: bytes, first: list[int], ranks: dict[int, int], merged: lis
     return left
 
 
+def supported(vocabulary: dict) -> None:
+    """Raise unless a vocabulary file asks for no more than plain byte-level byte-pair merging over PRETOKEN."""
+    model, pre = vocabulary["model"], vocabulary.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        wrong.append("another model or pre-tokenizer")
+    if vocabulary.get("normalizer"):
+        wrong.append("a normalizer")
+    if wrong or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in vocabulary.get("added_tokens") or []):
+        raise ValueError(f"the vocabulary file asks for what is not built: {', '.join(wrong) or 'stripping or whole-word added tokens'}")
+
+
 class Counter:
     """Tokens of texts under one vocabulary file; made once in a worker."""
 
@@ -76,6 +88,7 @@ class Counter:
         import regex
 
         model = json.loads(vocabulary)
+        supported(model)
         ids = model["model"]["vocab"]
         self.ranks: dict[int, int] = {}
         self.merged: list[int] = []
@@ -96,7 +109,8 @@ class Counter:
                 n = counter.word(word.encode("utf-8", "surrogatepass"))
                 if len(self) >= KEPT:
                     self.clear()
-                self[word] = n
+                if len(word) <= 64:
+                    self[word] = n
                 return n
 
         class Chunks(dict):
@@ -151,8 +165,8 @@ def counter(vocabulary: str) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary: str | Path, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text).
 
-    Byte-level byte-pair encoding as the vocabulary file (.json) defines it; added tokens inside a text count as one,
-    no others are added. Null and empty texts have no bytes and no tokens. Repeated rows stay; other columns are ignored.
+    Plain byte-level byte-pair encoding by the merges of the vocabulary file (.json); added tokens inside a text count as
+    one, no others are added; a file that asks for a normalizer or another pre-tokenizer or model is refused. Null and empty texts have no bytes and no tokens. Repeated rows stay; other columns are ignored.
     The vocabulary, of fixed size, is sent once to each executor.
     """
     spark = docs.sparkSession
