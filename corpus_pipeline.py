@@ -41,11 +41,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet in the shared checkpoint folder and read again."""
-    _shared.ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """The stages applied to documents, each written as Parquet in the shared checkpoint folder and read again.
+
+    A stage's table goes once the next one is written; the last one, which the result reads, stays. Null and empty texts go
+    at the first stage; rows with a null doc_id and repeated rows are treated as each stage says.
+    """
+    folder = f"{_shared.ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _shared.remove(spark, f"{folder}/{i - 1}")
     return docs
