@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded, cut, mix64, packed, text_key, unpacked
+from ._shared import _powers, bounded, cut, mix64, packed, text_key, unpacked
 
 _U = np.uint64
 #: Units that a number may carry, and number words.
@@ -72,15 +72,21 @@ class Templates:
         return h[keep], slot[keep], word[keep], kind[keep] == 3, [tokens[i] for i in keep]
 
 
-def windows(h: np.ndarray, k: int, first: np.ndarray | None = None) -> np.ndarray:
-    """A hash of each run of k template tokens; `first` has the hashes of tokens that a run begins with."""
-    if len(h) < k:
-        return h[:0]
-    total = np.full(len(h) - k + 1, _U(k), dtype=np.uint64)
-    for i in range(k):
-        part = h if i or first is None else first
-        total = mix64(total * _U(31) + part[i : len(h) - k + 1 + i])
-    return total
+class Windows:
+    """Hashes of all runs of the tokens of a text: a rolling sum of which a run of any length is a difference."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.x = mix64(h ^ _U(0xA0761D6478BD642F))
+        up, self.down = _powers(1 << max(10, len(h).bit_length()))
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.x * up[: len(h)], dtype=np.uint64)))
+
+    def raw(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        n = len(self.x) - k + 1
+        return ((self.total[k:] - self.total[:n]) * self.down[:n])[at]
+
+
+def _hashed(raw: np.ndarray, k: int) -> np.ndarray:
+    return mix64(raw + _U(k))
 
 
 def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, either: bool):
@@ -91,27 +97,33 @@ def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, eit
     Windows of placeholders alone say nothing and are left out.
     """
     h, slot, word, capital, tokens = templates(text)
+    if not len(h) or len(h) < min(sizes, default=1):
+        return
     named = slot == _NAME
     names = np.concatenate(([0], np.cumsum(named)))
-    plain, bare = np.where(named, word, h), np.where(named, 0, slot)
-    turned = np.where(named, word, _U(_NAME))
+    bare = np.where(named, 0, slot)
     filled, also = (np.concatenate(([0], np.cumsum(x > 0))) for x in (slot, bare))
+    own, plain = Windows(h), Windows(np.where(named, word, h))
+    turned = mix64(np.where(named, word, _U(_NAME)) ^ _U(0xA0761D6478BD642F)) - own.x if either else None
     for k in sizes:
         n = len(h) - k + 1
         if n < 1:
             continue
         slots, others = filled[k:] - filled[:-k], also[k:] - also[:-k]
-        forms = [(windows(h, k), np.flatnonzero(slots < k), slot, False), (windows(plain, k), np.flatnonzero((names[k:] > names[:-k]) & (others < k)), bare, False)]
+        raw = own.raw(k)
+        at, there = np.flatnonzero(slots < k), np.flatnonzero((names[k:] > names[:-k]) & (others < k))
+        forms = [(_hashed(raw[at], k), at, slot, False), (_hashed(plain.raw(k, there), k), there, bare, False)]
         if either:
-            there = np.where(slot[:n] > 0, slots - 1, slots + 1)
-            forms.append((windows(h, k, turned), np.flatnonzero(capital[:n] & (there < k)), slot, True))
+            at = np.flatnonzero(capital[:n] & (np.where(slot[:n] > 0, slots - 1, slots + 1) < k))
+            forms.append((_hashed(raw[at] + turned[at], k), at, slot, True))
         for w, at, kinds, turn in forms:
             if wanted is not None and len(at):
-                place = np.minimum(np.searchsorted(wanted, w[at]), len(wanted) - 1)
-                at = at[wanted[place] == w[at]]
-            for i in at.tolist():
+                place = np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)
+                met = wanted[place] == w
+                w, at = w[met], at[met]
+            for i, x in zip(at.tolist(), w.view(np.int64).tolist(), strict=True):
                 first = [tokens[i].lower()] if (kinds[i] > 0) != turn else []
-                yield key, k, i, int(w[i : i + 1].view(np.int64)[0]), first + [tokens[j].lower() for j in range(i + 1, i + k) if kinds[j] > 0]
+                yield key, k, i, x, first + [tokens[j].lower() for j in range(i + 1, i + k) if kinds[j] > 0]
 
 
 def _table(rows, key: str) -> pa.RecordBatch:
