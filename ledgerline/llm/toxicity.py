@@ -118,9 +118,10 @@ def mine(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Posterior probability of label 1 by row, from the votes alone: EM over voters whose correlations share their weight.
 
-    votes: 1, or 0 where a voter abstains, by row and voter; that all abstain is an event of its own. The posterior begins
-    at `start`, which tells the model which of its two classes is the toxic one and is forgotten after the first round. A
-    voter's weight is 1 over 1 plus its summed residual correlations with the others, so copies of one voter count once.
+    votes: 1, or 0 where a voter abstains, by row and voter. That all abstain is an event of its own; else abstentions say
+    nothing, as voters that stand for different words exclude each other. The posterior begins at `start`, which tells the
+    model which of its two classes is the toxic one and is forgotten after the first round. A voter's weight is 1 over 1
+    plus its summed residual correlations with the others, so copies of one voter count once.
     """
     silent = ~votes.any(axis=1)
     post, weight = start.copy(), np.ones(votes.shape[1])
