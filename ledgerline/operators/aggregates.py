@@ -24,10 +24,19 @@ def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return counts.filter("_upto > n div 2").groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("upper_median"))
 
 
-def banded(df: DataFrame, value: str, bands: DataFrame, aggregates: Sequence[Column], closed: bool = False) -> DataFrame:
-    """Aggregates by band of bands(band, low, high); bands without rows appear too. closed: high belongs to its band."""
-    above = F.col(value) <= F.col("high") if closed else F.col(value) < F.col("high")
-    return F.broadcast(bands).join(df, (F.col(value) >= F.col("low")) & above, "left").groupBy("band").agg(*aggregates)
+def banded(df: DataFrame, value: str, bands: Sequence[tuple], aggregates: Sequence[Column], closed: bool = False, sentinels: Sequence[str] = ()) -> DataFrame:
+    """Aggregates by band of bands (name, low, high), the first that holds the value; closed: high belongs to its band.
+
+    Bands without rows appear too, but for the sentinels. They come from one row of nulls each, so the aggregates must count
+    columns, not rows. A row finds its band by itself: no join.
+    """
+    at, band = F.col(value), F.lit(None).cast("string")
+    for name, low, high in reversed(bands):
+        band = F.when((at >= low) & ((at <= high) if closed else (at < high)), F.lit(name)).otherwise(band)
+    rows = df.withColumns({"band": band, "_there": F.lit(1)}).filter("band is not null")
+    empty = df.sparkSession.createDataFrame([(name,) for name, *_ in bands], "band string")
+    got = rows.unionByName(empty, allowMissingColumns=True).groupBy("band").agg(*aggregates, F.count("_there").alias("_there"))
+    return got.filter(~F.col("band").isin(*sentinels) | (F.col("_there") > 0)).drop("_there") if sentinels else got.drop("_there")
 
 
 def top_k(counts: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -46,3 +55,13 @@ def reconciled(df: DataFrame, parts: Sequence[str], total: str, printed: dict[st
         ok &= F.col(f"_{c}") == n
     checked = sums.select(F.assert_true(ok, F.lit("table does not reconcile")).isNull().alias("_ok"))
     return df.join(F.broadcast(checked), F.col("_ok")).drop("_ok")
+
+
+def to_map(df: DataFrame, by: Sequence[str], key: str, value: str, name: str = "entries") -> DataFrame:
+    """One row of each group with a map of its keys to values, in order of the keys; a key that stands twice fails."""
+    return df.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias(name))
+
+
+def largest_totals(df: DataFrame, by: str, value: str, least: float, k: int) -> DataFrame:
+    """(by, total): the k largest totals that reach `least`; ties by name."""
+    return df.groupBy(by).agg(F.sum(value).alias("total")).filter(F.col("total") >= least).orderBy(F.desc("total"), by).limit(k)

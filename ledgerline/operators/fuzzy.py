@@ -111,3 +111,25 @@ def best_match(probes: DataFrame, name: str, lexicon: DataFrame, entry: str, cut
     scored = met.select("_n", "_e", weighted_ratio_of("_n", "_e").alias("_s")).filter(F.col("_s") >= cutoff)
     best = joins.first_wins(scored, ["_n"], [F.col("_s").desc(), "_e"]).select("_n", F.col("_e").alias("resolved"), F.col("_s").alias("score"))
     return probes.join(best, probes[name] == F.col("_n"), "left").drop("_n")
+
+
+def resolve(probes: DataFrame, name: str, lexicon: DataFrame, entry: str, aliases: DataFrame, old: str, new: str, rank: str, cutoff: float = 92.0) -> DataFrame:
+    """probes with `resolved` and `how`: exact; the first alias by rank that is an entry; the best entry by weighted ratio; the
+    best entry for the first alias by rank that has one; else null.
+
+    Empty names resolve to nothing. Each step takes only the distinct names that those before it left.
+    """
+    names = probes.select(F.col(name).alias("_n")).filter(F.length(name) > 0).distinct()
+    entries = lexicon.select(F.col(entry).alias("_e")).distinct()
+    pairs = aliases.select(F.col(old).alias("_n"), F.col(new).alias("_new"), F.col(rank).alias("_r"))
+    exact = names.join(entries, F.col("_n") == F.col("_e"), "left_semi").select("_n", F.col("_n").alias("resolved"), F.lit("exact").alias("how"))
+    left = names.join(exact.select("_n"), "_n", "left_anti")
+    known = pairs.join(left, "_n", "left_semi").join(entries, F.col("_new") == F.col("_e"), "left_semi")
+    alias = joins.first_wins(known, ["_n"], ["_r", "_new"]).select("_n", F.col("_new").alias("resolved"), F.lit("alias").alias("how"))
+    left = left.join(alias.select("_n"), "_n", "left_anti")
+    scored = best_match(left.select(F.col("_n").alias("_probe")), "_probe", entries, "_e", cutoff).filter("resolved is not null").select(F.col("_probe").alias("_n"), "resolved", F.lit("fuzzy").alias("how"))
+    left = left.join(scored.select("_n"), "_n", "left_anti")
+    others = best_match(pairs.join(left, "_n", "left_semi").filter(F.length("_new") > 0).withColumnRenamed("_n", "_probe"), "_new", entries, "_e", cutoff).filter("resolved is not null")
+    by_alias = joins.first_wins(others, ["_probe"], ["_r", "_new"]).select(F.col("_probe").alias("_n"), "resolved", F.lit("fuzzy alias").alias("how"))
+    found = exact.unionByName(alias).unionByName(scored).unionByName(by_alias)
+    return probes.join(found, probes[name] == F.col("_n"), "left").drop("_n")

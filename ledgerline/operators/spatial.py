@@ -129,6 +129,29 @@ def areal_interpolate(source: DataFrame, source_ring: str, values: Sequence[str]
     return shared.groupBy(target_key).agg(*[F.sum(F.col(f"l.{v}") * F.col("o.overlap") / F.col("o.area")).alias(v) for v in values])
 
 
+def contained(points: DataFrame, x: str, y: str, polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
+    """points with the key of each polygon that holds them, a row for each; points in none are left out."""
+    at = points.select(F.struct(*points.columns).alias("_p"), F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    shapes = _boxed(polygons.filter(F.size(ring) > 2).select(F.col(key).alias("_key"), F.col(ring).cast(_POINTS).alias("_ring")), F.col("_ring"))
+    cells = [F.explode(F.sequence(F.floor(F.col(f"_{a}0") / cell), F.floor(F.col(f"_{a}1") / cell))).alias(f"_c{a}") for a in ("x", "y")]
+    spread = shapes.select("*", cells[0]).select("*", cells[1])
+    met = at.join(spread, ["_cx", "_cy"]).filter((F.col("_x") >= F.col("_x0")) & (F.col("_x") <= F.col("_x1")) & (F.col("_y") >= F.col("_y0")) & (F.col("_y") <= F.col("_y1")))
+    return met.filter(geometry.point_in_ring(F.col("_x"), F.col("_y"), F.col("_ring"))).select(*[F.col("_p").getField(c).alias(c) for c in points.columns], F.col("_key").alias(key))
+
+
+def nearest_within(probes: DataFrame, row_id: str, px: str, py: str, points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
+    """probes with the key and distance of the nearest point within the radius, the smaller key of two as near; else nulls.
+
+    Points meet probes of their own and the eight neighbouring cells, whose side is the radius.
+    """
+    around = [F.explode(F.sequence(F.floor(F.col(c) / radius) - 1, F.floor(F.col(c) / radius) + 1)).alias(n) for c, n in (("_px", "_cx"), ("_py", "_cy"))]
+    ours = probes.select(F.col(row_id).alias("_id"), F.col(px).alias("_px"), F.col(py).alias("_py")).select("*", around[0]).select("*", around[1])
+    theirs = points.select(F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / radius).alias("_cx"), F.floor(F.col(y) / radius).alias("_cy"))
+    apart = F.sqrt(F.pow(F.col("_px") - F.col("_x"), 2) + F.pow(F.col("_py") - F.col("_y"), 2))
+    best = ours.join(theirs, ["_cx", "_cy"]).withColumn("_d", apart).filter(F.col("_d") <= radius).groupBy("_id").agg(F.min(F.struct("_d", "_key")).alias("_b"))
+    return probes.join(best, probes[row_id] == F.col("_id"), "left").select(*probes.columns, F.col("_b._key").alias(key), F.col("_b._d").alias("distance"))
+
+
 def _inside(ring: np.ndarray, x: float, y: float) -> bool:
     (ax, ay), (bx, by) = ring.T, np.roll(ring, -1, axis=0).T
     spans = (ay > y) != (by > y)
@@ -241,7 +264,7 @@ def place_on_blocks(people: DataFrame, street: str, cross: str, bearing: str, si
     behind = F.col("_d") - F.array_max(F.filter("_all", lambda d: d < F.col("_d") - 1.0))
     gap = F.when(F.col("_sign") > 0, ahead).when(F.col("_sign") < 0, behind)
     df = df.withColumn("_to", F.when(F.col("_d").isNotNull() & F.col("_len").isNotNull(), F.least(F.greatest(F.col("_d") + F.col("_sign") * geometry.block_step(gap), F.lit(0.0)), F.col("_len"))))
-    near = F.least(F.lit(5.0), F.col("_len") / 20)
+    near = F.least(F.lit(10.0), F.col("_len") / 20)
     df = df.withColumn("_p", geometry.point_along(F.col("_line"), F.col("_to")))
     df = df.withColumn("_a", geometry.point_along(F.col("_line"), F.greatest(F.col("_to") - near, F.lit(0.0)))).withColumn("_b", geometry.point_along(F.col("_line"), F.least(F.col("_to") + near, F.col("_len"))))
     moved = geometry.side_offset(F.col("_p.x"), F.col("_p.y"), F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y"), F.substring(F.lower(F.col(side)), 1, 1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions import addresses, geometry, names
+from ledgerline.functions import addresses, geometry, names, transcribed, values
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import folds, fuzzy, joins, spatial, statistics
 from ledgerline.sources import readers
@@ -84,12 +84,11 @@ _BANDS_SQL = ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _BANDS)
 
 @_query(f"""
 SELECT band, CAST(count(p_partkey) AS BIGINT) n, CAST(count(*) FILTER (p_type = 'ECONOMY') AS BIGINT) economy, CAST(count(*) FILTER (p_type = 'STANDARD') AS BIGINT) standard,
- CAST(count(*) FILTER (p_type NOT IN ('ECONOMY', 'STANDARD')) AS BIGINT) other FROM (VALUES {_BANDS_SQL}) b(band, low, high) LEFT JOIN part ON p_size >= low AND p_size < high GROUP BY band""")
+ CAST(count(*) FILTER (p_type NOT IN ('ECONOMY', 'STANDARD')) AS BIGINT) other FROM (VALUES {_BANDS_SQL}) b(band, low, high) LEFT JOIN part ON p_size >= low AND p_size < high GROUP BY band HAVING band <> 'unknown' OR count(p_partkey) > 0""")
 def age_sex_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open bands by codes; empty bands and the sentinel band appear."""
-    bands = spark.createDataFrame(_BANDS, "band string, low int, high int")
+    """Half-open bands by codes; empty bands appear, the sentinel band only if it has rows."""
     kind = F.col("p_type")
-    return A.banded(_t(spark, sf_dir, "part"), "p_size", bands, [F.count("p_partkey").alias("n"), F.count_if(kind == "ECONOMY").alias("economy"), F.count_if(kind == "STANDARD").alias("standard"), F.count_if(~kind.isin("ECONOMY", "STANDARD")).alias("other")])
+    return A.banded(_t(spark, sf_dir, "part"), "p_size", _BANDS, sentinels=["unknown"], aggregates=[F.count("p_partkey").alias("n"), F.count_if(kind == "ECONOMY").alias("economy"), F.count_if(kind == "STANDARD").alias("standard"), F.count_if(~kind.isin("ECONOMY", "STANDARD")).alias("other")])
 
 
 _CLOSED = [("1", 1, 1), ("2", 2, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11+", 11, 1_000_000)]
@@ -99,8 +98,7 @@ _CLOSED = [("1", 1, 1), ("2", 2, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11+", 11,
 SELECT band, CAST(count(l_orderkey) AS BIGINT) people, CAST(count(DISTINCT l_orderkey) AS BIGINT) holdings FROM (VALUES {", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _CLOSED)}) b(band, low, high)
 LEFT JOIN lineitem ON l_quantity >= low AND l_quantity <= high GROUP BY band""")
 def holding_bands_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = spark.createDataFrame(_CLOSED, "band string, low int, high int")
-    return A.banded(_t(spark, sf_dir, "lineitem"), "l_quantity", bands, [F.count("l_orderkey").alias("people"), F.count_distinct("l_orderkey").alias("holdings")], closed=True)
+    return A.banded(_t(spark, sf_dir, "lineitem"), "l_quantity", _CLOSED, [F.count("l_orderkey").alias("people"), F.count_distinct("l_orderkey").alias("holdings")], closed=True)
 
 
 def _wards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +265,7 @@ def section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT user_id, epoch_us(ts) // 1000000 s, min(value) v FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT *, lead(s) OVER w s2, lead(v) OVER w v2 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY s)),
 q AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000000 s FROM events WHERE event_type = 'error')
 , m AS (SELECT q.user_id, q.s probe, round(v + (v2 - v) * (q.s - p.s) / (p.s2 - p.s), 4) interpolated, row_number() OVER (PARTITION BY q.user_id, q.s ORDER BY p.s) rn FROM q JOIN p ON q.user_id = p.user_id AND p.s <= q.s AND q.s <= s2)
-SELECT user_id, CAST(probe AS BIGINT) probe, interpolated FROM m WHERE rn = 1""")
+SELECT q.user_id, CAST(q.s AS BIGINT) probe, interpolated FROM q LEFT JOIN m ON q.user_id = m.user_id AND q.s = m.probe AND rn = 1""")
 def bracket_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
     rungs = events.filter("event_type = 'view'").groupBy("user_id", "s").agg(F.min("value").alias("v"))
@@ -312,7 +310,7 @@ def alias_append_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS entry FROM part), p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN 'was ' || split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || 'x' END probe, split_part(p_name, ' ', 1) f FROM part),
-n AS (SELECT DISTINCT probe FROM p WHERE p_partkey % 3 = 2), d AS (SELECT probe, entry, levenshtein(probe, entry) dist FROM n JOIN w ON substr(probe, 1, 1) = substr(entry, 1, 1) WHERE levenshtein(probe, entry) <= 2), b AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY dist, entry) rn FROM d)
+n AS (SELECT DISTINCT probe FROM p WHERE p_partkey % 3 = 2), d AS (SELECT probe, entry, levenshtein(probe, entry) dist FROM n JOIN w ON levenshtein(probe, entry) <= 2), b AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY dist, entry) rn FROM d)
 SELECT p.p_partkey, p.probe, CASE WHEN p.p_partkey % 3 < 2 THEN f ELSE b.entry END resolved, CASE p.p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' ELSE CASE WHEN b.entry IS NOT NULL THEN 'fuzzy' END END how FROM p LEFT JOIN b ON b.probe = p.probe AND rn = 1""")
 def cascade_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
@@ -488,3 +486,125 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its user's latest purchase so far."""
     rows = _t(spark, sf_dir, "events").withColumn("since", F.when(F.col("event_type") == "purchase", F.col("event_id")))
     return folds.carried(rows, ["user_id"], ["ts", "event_id"], ["since"]).select("event_id", "user_id", "since")
+
+
+@_query("""
+SELECT CAST(year(l_shipdate) AS INTEGER) yr, CAST(sum(CASE year(l_shipdate) WHEN 1993 THEN l_quantity WHEN 1994 THEN l_quantity + l_linenumber WHEN 1995 THEN l_quantity + l_linenumber ELSE l_linenumber END) AS BIGINT) counted FROM lineitem GROUP BY 1""")
+def year_keyed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the columns that each year asks for."""
+    year, bands = F.year("l_shipdate"), {1993: ["l_quantity"], 1994: ["l_quantity", "l_linenumber"], 1995: ["l_quantity", "l_linenumber"]}
+    rows = _t(spark, sf_dir, "lineitem").select(year.alias("yr"), values.year_keyed(year, bands, F.col("l_linenumber")).alias("c"))
+    return rows.groupBy("yr").agg(F.sum("c").cast("bigint").alias("counted"))
+
+
+@_query("""
+SELECT 'households' AS kind, CAST(count(*) AS BIGINT) n FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'MACHINERY' UNION ALL SELECT 'schedules', CAST(count(*) AS BIGINT) FROM customer WHERE c_nationkey = 3""")
+def city_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place by all its codes, and by those that another file shares."""
+    rows = _t(spark, sf_dir, "customer")
+    whole, shared = values.coded(rows, {"c_nationkey": 3, "c_mktsegment": "MACHINERY"}), values.coded(rows, {"c_nationkey": 3})
+    return whole.agg(F.lit("households").alias("kind"), F.count("*").alias("n")).unionByName(shared.agg(F.lit("schedules").alias("kind"), F.count("*").alias("n")))
+
+
+_RAW = "CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN 'x12' WHEN 3 THEN NULL ELSE '1.5' END"
+
+
+@_query(f"WITH r AS (SELECT p_partkey, {_RAW} raw FROM part) SELECT p_partkey, TRY_CAST(raw AS DOUBLE) AS number, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN CAST(raw AS INTEGER) END digits, nullif(trim(raw), '') AS bare FROM r")
+def guarded_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that may be missing, blank or something else."""
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, "").when(k == 2, "x12").when(k == 4, "1.5")
+    return _t(spark, sf_dir, "part").select("p_partkey", values.number(raw).alias("number"), values.digits(raw).alias("digits"), values.blank_to_null(raw).alias("bare"))
+
+
+@_query("""
+SELECT p_partkey, p_partkey % 5 IN (1, 2, 3) AS prose, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS code, CASE WHEN p_size >= 21 THEN 4 WHEN p_size >= 15 THEN 3 WHEN p_size >= 10 THEN 2 WHEN p_size >= 5 THEN 1 ELSE 0 END AS map_class FROM part""")
+def prose_tiers_and_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are running text, codes of tiers, and classes of a map."""
+    k, t = F.col("p_partkey") % 5, F.col("p_partkey") % 4
+    name = F.when(k == 0, "Saratoga").when(k == 1, "any house as you see on it").when(k == 2, "E Hence").when(k == 3, "on Pratt").otherwise("fayette")
+    tier = F.when(t == 0, "bracketed").when(t == 1, "extrapolated").when(t == 2, "street_proportional")
+    return _t(spark, sf_dir, "part").select("p_partkey", values.is_prose(name).alias("prose"), values.tier_code(tier).alias("code"), values.map_class(F.col("p_size"), values.PCT_CUTS).alias("map_class"))
+
+
+@_query("""
+WITH r AS (SELECT s_nationkey k, CASE s_suppkey % 2 WHEN 0 THEN 'left' ELSE 'right' END sd, s_suppkey a, s_suppkey * 3.0 + s_nationkey v, row_number() OVER w i, count(*) OVER (PARTITION BY s_nationkey, s_suppkey % 2) n FROM supplier WINDOW w AS (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey)),
+pr AS (SELECT x.k, x.sd, x.a a0, x.v v0, y.a a1, y.v v1, x.i, x.n FROM r x JOIN r y ON x.k = y.k AND x.sd = y.sd AND y.i = x.i + 1), q AS (SELECT c_custkey id, c_nationkey k, c_custkey % 130 p FROM customer),
+m AS (SELECT id, sd, v0 + (v1 - v0) * (p - a0) / (a1 - a0) d, CASE WHEN p BETWEEN a0 AND a1 THEN 'bracketed' ELSE 'extrapolated' END conf, row_number() OVER (PARTITION BY id, sd ORDER BY CASE WHEN p BETWEEN a0 AND a1 THEN 0 ELSE 1 END, i) rn FROM q JOIN pr USING (k) WHERE p BETWEEN a0 AND a1 OR (p < a0 AND i = 1) OR (p > a1 AND i = n - 1)),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE conf WHEN 'bracketed' THEN 0 ELSE 1 END, sd) r2 FROM m WHERE rn = 1)
+SELECT c_custkey, CASE WHEN conf IS NOT NULL THEN round(greatest(0.0, least(300.0, d)), 4) END::DOUBLE distance, sd AS side, conf AS confidence FROM customer LEFT JOIN b ON id = c_custkey AND r2 = 1""")
+def ladder_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers along their nation's line, by the ladder of the side that brackets their number, else beyond its ends."""
+    side = F.when(F.col("s_suppkey") % 2 == 0, "left").otherwise("right")
+    rungs = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("street"), side.alias("side"), F.col("s_suppkey").alias("no"), (F.col("s_suppkey") * 3.0 + F.col("s_nationkey")).alias("at"))
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("street"), (F.col("c_custkey") % 130).alias("house"), F.lit(300.0).alias("length"))
+    return joins.two_sided(rungs, people, "street", "side", "no", "at", "house", "c_custkey", "length").select("c_custkey", F.round("distance", 4).alias("distance"), "side", "confidence")
+
+
+@_query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 2 = 0 THEN 100 + c_nationkey ELSE c_nationkey END::BIGINT AS at FROM customer""")
+def directional_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The northern half of a street where it is known, else the whole."""
+    direction = F.when(F.col("c_custkey") % 3 == 0, "N").when(F.col("c_custkey") % 3 == 1, "S").otherwise("")
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("core"), direction.alias("dir"))
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("core"))
+    known = nations.select("core", F.lit("").alias("dir"), F.col("core").cast("bigint").alias("at")).unionByName(nations.filter("core % 2 = 0").select("core", F.lit("N").alias("dir"), (F.col("core") + 100).cast("bigint").alias("at")))
+    return joins.directional(people, "core", "dir", known, "core", "dir", "at").select("c_custkey", "at")
+
+
+@_query("""
+SELECT event_id, user_id, (SELECT max(epoch_us(b.ts)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'error' AND epoch_us(b.ts) < epoch_us(a.ts)) last_error FROM events a WHERE event_type = 'purchase'""")
+def asof_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last error strictly before each purchase of a user."""
+    events = _t(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    right = events.filter("event_type = 'error'").select("user_id", F.col("us").alias("last_error"))
+    return joins.last_before(events.filter("event_type = 'purchase'").select("event_id", "user_id", "us"), right, "user_id", "us", "last_error").drop("us")
+
+
+@_query("""
+WITH e AS (SELECT user_id, event_type, count(*) n FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2) SELECT user_id, '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS types FROM e GROUP BY 1""")
+def group_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each user's kinds of events as one map."""
+    counts = _t(spark, sf_dir, "events").filter("event_type is not null").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return A.to_map(counts, ["user_id"], "event_type", "n", "types").select("user_id", F.to_json("types").alias("types"))
+
+
+@_query("SELECT l_partkey, CAST(sum(l_quantity) AS DOUBLE) total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 300 ORDER BY total DESC, l_partkey LIMIT 35")
+def length_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 35 largest totals of those that reach a threshold."""
+    return A.largest_totals(_t(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", 300, 35)
+
+
+@_query("""
+WITH p AS (SELECT c_custkey, c_acctbal x, c_custkey % 1000 * 10.0 y FROM customer), s AS (SELECT s_suppkey, s_acctbal x, s_suppkey * 10.0 y FROM supplier),
+m AS (SELECT c_custkey, s_suppkey, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) d, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) rn FROM p JOIN s ON (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) <= 160000)
+SELECT p.c_custkey, s_suppkey, round(d, 4) distance FROM p LEFT JOIN m ON p.c_custkey = m.c_custkey AND rn = 1""")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier nearest to each customer, within 400 m."""
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("px"), (F.col("c_custkey") % 1000 * 10.0).alias("py"))
+    points = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 10.0).alias("y"))
+    return spatial.nearest_within(people, "c_custkey", "px", "py", points, "s_suppkey", "x", "y", 400.0).select("c_custkey", "s_suppkey", F.round("distance", 4).alias("distance"))
+
+
+@_query(f"""
+{_BLOCKS_SQL}, p AS (SELECT c_custkey, c_custkey % 400 + 0.25 px, c_nationkey * 4 + 0.125 py FROM customer) SELECT c_custkey, k AS key FROM p JOIN b ON px > x AND px < x + 10 AND py > y AND py < y + 10""")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the block that they stand in."""
+    points = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 400 + 0.25).alias("px"), (F.col("c_nationkey") * 4 + 0.125).alias("py"))
+    return spatial.contained(points, "px", "py", _blocks(spark, sf_dir), "key", "ring", 25.0).select("c_custkey", "key")
+
+
+_TRANSCRIBED = (
+    ("German, near Market, fp", "near", "", "German", "", "Market", ""), ("cor. Gough st. & Star alley", "corner", "", "Gough st", "", "Star alley", ""), ("Argyle al. n Fleet st", "relative", "", "Argyle al", "n", "Fleet st", ""),
+    ("Strawberry alley, e side s of Smith st, fp", "relative", "", "Strawberry alley", "s", "Smith st", "e"), ("71 Charles st (??)", "numbered", "71", "Charles st", "", "", ""), ("Pitt st ot.", "street_only", "", "Pitt st", "", "", ""),
+)
+_ADDRESS_FIELDS = ("addr_type", "house_no", "street", "bearing", "cross_street", "side")
+
+
+@_query("SELECT c_custkey, " + ", ".join(f"CASE c_custkey % 6 {' '.join(f'WHEN {i} THEN {chr(39)}{row[j + 1]}{chr(39)}' for i, row in enumerate(_TRANSCRIBED))} END {name}" for j, name in enumerate(_ADDRESS_FIELDS)) + " FROM customer")
+def transcribed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as transcribers write them."""
+    raw = F.lit(None).cast("string")
+    for i, row in enumerate(_TRANSCRIBED):
+        raw = F.when(F.col("c_custkey") % 6 == i, F.lit(row[0])).otherwise(raw)
+    return _t(spark, sf_dir, "customer").select("c_custkey", transcribed.address(raw).alias("a")).select("c_custkey", "a.*")

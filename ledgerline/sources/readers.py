@@ -23,13 +23,14 @@ def html_lines(html: Column) -> Column:
 
 
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column a string, quotes doubled inside quotes; '' stays apart from null."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', emptyValue="", nullValue="\0")
+    """CSV with a header, every column a string, quotes doubled inside quotes; what is absent is '', not null."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', emptyValue="", nullValue="\0").na.fill("")
 
 
 def csv_by_name(spark: SparkSession, path: str, pattern: str, key: str) -> DataFrame:
     """csv_strings of several files with a column taken from the file name by the pattern's first group."""
-    return csv_strings(spark, path).withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', emptyValue="", nullValue="\0")
+    return raw.withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)).na.fill("")
 
 
 def xml_words(spark: SparkSession, path: str, header: float) -> DataFrame:
@@ -64,6 +65,25 @@ def stata(spark: SparkSession, path: str, folder: str, rows: int = 200_000) -> D
     return spark.read.parquet(folder)
 
 
+def sqlite(spark: SparkSession, path: str, query: str, schema: str, folder: str, rows: int = 200_000) -> DataFrame:
+    """A query of a SQLite file that the driver can open, by chunks, as Parquet in a shared folder."""
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as store:
+        cursor, mode = store.execute(query), "overwrite"
+        while (chunk := cursor.fetchmany(rows)) or mode == "overwrite":
+            spark.createDataFrame(chunk, schema).write.mode(mode).parquet(folder)
+            mode = "append"
+    return spark.read.parquet(folder)
+
+
+def checked(spark: SparkSession, path: str, magic: bytes, least: int = 1) -> DataFrame:
+    """(path, good) of files: whether each has at least so many bytes and begins with the magic ones; a page that was saved
+    in place of data does not."""
+    head = F.substring(F.col("content"), 1, len(magic))
+    return spark.read.format("binaryFile").load(path).select("path", ((F.col("length") >= least) & (F.hex(head) == magic.hex().upper())).alias("good"))
+
+
 def or_empty(spark: SparkSession, read, schema: T.StructType | str) -> DataFrame:
     """What read() gives, or no rows of the schema where its files are missing."""
     from pyspark.errors import AnalysisException
