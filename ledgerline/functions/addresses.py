@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Compass bearings as directories print them.
+#: Compass bearings as directories print them, and below the forms of an address and of an entry.
 BEARING = "north|south|east|west|ne|nw|se|sw|n|s|e|w"
 
 
