@@ -9,6 +9,7 @@ its slots are filled consistently there: one value of the item stands for one va
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +24,39 @@ UNITS = frozenset("mm cm m km in ft yd mi miles mile inches inch feet foot meter
 NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 #: Template windows of a benchmark up to which executors hold their hashes to thin the documents' windows.
 HELD = 2_000_000
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 _NUMBER, _UNIT, _NAME = 1, 2, 3
 _KEPT = 400_000
 
 
-class Templates:
-    """Hashes of template tokens; words seen are kept, up to a bound."""
+class Templates(dict):
+    """Numbers the template tokens seen, up to a bound, and keeps their hashes and kinds."""
 
     def __init__(self) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        super().__init__()
         self.hash = np.zeros(1 << 16, dtype=np.uint64)
         self.kind = np.zeros(1 << 16, dtype=np.int8)  # 0 word, 1 number, 2 unit, 3 capitalised, 4 stop
 
-    def _add(self, token: str) -> int:
-        i = len(self.at)
+    def __missing__(self, token: str) -> int:
+        i = len(self)
         if i >= len(self.hash):
             self.hash, self.kind = np.resize(self.hash, 2 * i), np.resize(self.kind, 2 * i)
         low = token.lower()
-        kind = 4 if token in ".!?\n" else 1 if token[0].isdecimal() or low in NUMBERS else 2 if low in UNITS else 3 if token[0].isupper() else 0
-        h = 0xCBF29CE484222325
-        for c in low.encode("utf-8", "surrogatepass"):
-            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        self.hash[i], self.kind[i] = h, kind
-        self.at[token] = i
+        self.kind[i] = 4 if token in ".!?\n" else 1 if token[0].isdecimal() or low in NUMBERS else 2 if low in UNITS else 3 if token[0].isupper() else 0
+        self.hash[i] = int.from_bytes(blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[token] = i
         return i
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(hash, placeholder type or 0, hash as a word, whether capitalised, token) of the whole text's template tokens.
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(hash, placeholder type or 0, hash as a word, whether capitalised) of the whole text's template tokens, and all
+        tokens with the places of these among them.
 
         A capitalised word is a name unless it opens a sentence; a unit is one only after a number.
         """
         tokens = _TOKEN.findall(text or "")
-        if len(self.at) >= _KEPT:
-            self._clear()
-        get, add = self.at.get, self._add
-        ids = np.fromiter((add(t) if (i := get(t)) is None else i for t in tokens), dtype=np.int64, count=len(tokens))
+        if len(self) >= _KEPT:
+            self.clear()
+        ids = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         kind, word = self.kind[ids], self.hash[ids]
         h = word.copy()
         opens = np.concatenate(([True], kind[:-1] == 4)) if len(ids) else np.zeros(0, bool)
@@ -69,7 +64,7 @@ class Templates:
         slot = np.where(kind == 1, _NUMBER, np.where((kind == 2) & after, _UNIT, np.where((kind == 3) & ~opens, _NAME, 0)))
         h[slot > 0] = slot[slot > 0].astype(np.uint64)
         keep = np.flatnonzero(kind != 4)
-        return h[keep], slot[keep], word[keep], kind[keep] == 3, [tokens[i] for i in keep]
+        return h[keep], slot[keep], word[keep], kind[keep] == 3, tokens, keep
 
 
 class Windows:
@@ -96,7 +91,7 @@ def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, eit
     capitalised first word also with that one alone the other way, as what stands before it decides whether it is a name.
     Windows of placeholders alone say nothing and are left out.
     """
-    h, slot, word, capital, tokens = templates(text)
+    h, slot, word, capital, tokens, keep = templates(text)
     if not len(h) or len(h) < min(sizes, default=1):
         return
     named = slot == _NAME
@@ -122,8 +117,8 @@ def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, eit
                 met = wanted[place] == w
                 w, at = w[met], at[met]
             for i, x in zip(at.tolist(), w.view(np.int64).tolist(), strict=True):
-                first = [tokens[i].lower()] if (kinds[i] > 0) != turn else []
-                yield key, k, i, x, first + [tokens[j].lower() for j in range(i + 1, i + k) if kinds[j] > 0]
+                first = [tokens[keep[i]].lower()] if (kinds[i] > 0) != turn else []
+                yield key, k, i, x, first + [tokens[keep[j]].lower() for j in range(i + 1, i + k) if kinds[j] > 0]
 
 
 def _table(rows, key: str) -> pa.RecordBatch:
