@@ -65,3 +65,9 @@ def to_map(df: DataFrame, by: Sequence[str], key: str, value: str, name: str = "
 def largest_totals(df: DataFrame, by: str, value: str, least: float, k: int) -> DataFrame:
     """(by, total): the k largest totals that reach `least`; ties by name."""
     return df.groupBy(by).agg(F.sum(value).alias("total")).filter(F.col("total") >= least).orderBy(F.desc("total"), by).limit(k)
+
+
+def bars(counts: DataFrame, name: str, n: str, k: int = 18) -> DataFrame:
+    """(name, n, width): the k largest counts, ties by name, each with its width in percent of the largest."""
+    top = counts.select(name, n).orderBy(F.desc(n), name).limit(k)
+    return top.withColumn("width", pct(F.col(n), F.max(n).over(Window.partitionBy(F.lit(1))), 1))

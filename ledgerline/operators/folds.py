@@ -42,3 +42,27 @@ def carried(df: DataFrame, by: list[str], order: list[str], names: list[str]) ->
     """df with nulls of the named columns filled by the last value before them in the order, within `by`."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in names})
+
+
+def forward_picks(candidates: Column) -> Column:
+    """For each array of places, in order, the smallest beyond the furthest picked so far, else the smallest; null if empty."""
+
+    def step(state: Column, own: Column) -> Column:
+        at = F.coalesce(F.array_min(F.filter(own, lambda d: d > state["last"])), F.array_min(own))
+        return F.struct(F.greatest(state["last"], at).alias("last"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    start = F.struct(F.lit(-1.0).alias("last"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(candidates, start, step, lambda state: state["out"])
+
+
+def section(df: DataFrame, by: list[str], place: str, header: Column, end: Column, beyond: int = 250) -> DataFrame:
+    """The rows of each group from its first header on: up to the first end after it, else `beyond` places past the last header.
+
+    Headers themselves go, and groups without one.
+    """
+    w = Window.partitionBy(*by)
+    at = F.col(place)
+    opened = df.withColumns({"_h": F.coalesce(header, F.lit(False)), "_e": F.coalesce(end, F.lit(False))})
+    opened = opened.withColumns({"_a": F.min(F.when(F.col("_h"), at)).over(w), "_z": F.max(F.when(F.col("_h"), at)).over(w)})
+    opened = opened.withColumn("_stop", F.coalesce(F.min(F.when(F.col("_e") & (at > F.col("_a")), at)).over(w), F.col("_z") + beyond))
+    return opened.filter((at >= F.col("_a")) & (at < F.col("_stop")) & ~F.col("_h")).drop("_h", "_e", "_a", "_z", "_stop")

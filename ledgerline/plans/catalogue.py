@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions import addresses, geometry, names, transcribed, values
+from ledgerline.functions import addresses, geometry, names, printed, transcribed, values
 from ledgerline.operators import aggregates as A
-from ledgerline.operators import folds, fuzzy, joins, spatial, statistics
+from ledgerline.operators import folds, fuzzy, joins, linkage, spatial, statistics
 from ledgerline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,3 +608,71 @@ def transcribed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, row in enumerate(_TRANSCRIBED):
         raw = F.when(F.col("c_custkey") % 6 == i, F.lit(row[0])).otherwise(raw)
     return _t(spark, sf_dir, "customer").select("c_custkey", transcribed.address(raw).alias("a")).select("c_custkey", "a.*")
+
+
+_HEADINGS = (("CHARLES (N.) going north from 228 W Baltimore", "CHARLES (N.)", "going north from 228 W Baltimore"), ("L. McELDERRY—st. east", "L", "McELDERRY st. east"), ("PIN AL.", "PIN AL", ""), ("any house", "", "any house"))
+
+
+@_query("SELECT c_custkey, " + ", ".join(f"CASE c_custkey % 4 {' '.join(f'WHEN {i} THEN {chr(39)}{row[j + 1]}{chr(39)}' for i, row in enumerate(_HEADINGS))} END AS {name}" for j, name in enumerate(("name", "extent"))) + " FROM customer")
+def street_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and extents of streets as a table's heading prints them."""
+    raw = F.lit(None).cast("string")
+    for i, row in enumerate(_HEADINGS):
+        raw = F.when(F.col("c_custkey") % 4 == i, F.lit(row[0])).otherwise(raw)
+    return _t(spark, sf_dir, "customer").select("c_custkey", printed.heading(raw).alias("h")).select("c_custkey", "h.*")
+
+
+@_query("""
+SELECT p_partkey, CASE WHEN p_size <= 12 THEN '7' ELSE '' END AS left_no, CASE WHEN p_size > 12 THEN '7' ELSE '' END AS right_no, 'Pratt st' AS cross_street FROM part""")
+def printed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows below mangled heads at 4 and 20: a number at p_size and a cross street."""
+    word = lambda x, t: F.struct(x.cast("int").alias("x"), F.lit(t).alias("word"))
+    heads = printed.column_heads(F.array(word(F.lit(4), "Lejl."), word(F.lit(20), "Ei'ht.")))
+    row = F.array(word(F.col("p_size"), "7."), word(F.lit(60), "Pratt"), word(F.lit(70), "st.,"))
+    return _t(spark, sf_dir, "part").select("p_partkey", heads.alias("h"), row.alias("r")).select("p_partkey", printed.table_row(F.col("r"), F.col("h.left"), F.col("h.right"), F.lit(60)).alias("t")).select("p_partkey", "t.*")
+
+
+@_query("SELECT lang, CAST(count(*) AS BIGINT) n FROM documents WHERE length(text) >= 12 AND NOT regexp_matches(text, '^[A-Z\\s.,''&]+$') GROUP BY 1")
+def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that can be entries, by language."""
+    return _t(spark, sf_dir, "documents").filter(printed.is_entry(F.col("text"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@_query("""
+WITH r AS (SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) i FROM events), m AS (SELECT user_id, min(i) a, max(i) z FROM r WHERE event_type = 'purchase' GROUP BY 1),
+e AS (SELECT r.user_id, min(i) stop FROM r JOIN m ON r.user_id = m.user_id AND event_type = 'error' AND i > a GROUP BY 1)
+SELECT r.user_id, i AS place, event_type FROM r JOIN m ON r.user_id = m.user_id LEFT JOIN e ON r.user_id = e.user_id WHERE i >= a AND i < coalesce(stop, z + 5) AND event_type IS DISTINCT FROM 'purchase'""")
+def headed_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events after the first purchase up to the first error, else five places past the last purchase."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_type", place.alias("place"))
+    return folds.section(rows, ["user_id"], "place", F.col("event_type") == "purchase", F.col("event_type") == "error", 5).select("user_id", "place", "event_type")
+
+
+@_query("""
+WITH p AS (SELECT s_nationkey k, CAST(s_suppkey % 7 AS VARCHAR) w FROM supplier WHERE s_acctbal >= 0 QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1),
+c AS (SELECT c_custkey, coalesce(w, CAST(c_custkey % 5 AS VARCHAR)) ward, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey % 7 AS VARCHAR) END census FROM customer LEFT JOIN p ON k = c_nationkey)
+SELECT c_custkey, ward, CASE WHEN census <> '' THEN ward = census END AS agree FROM c""")
+def live_wards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wards by the present placement, else as recorded, and whether they agree with another source's."""
+    checks = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("key"), (F.col("c_custkey") % 5).cast("string").alias("recorded"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise((F.col("c_custkey") % 7).cast("string")).alias("census"))
+    placed = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey", F.when(F.col("s_acctbal") >= 0, (F.col("s_suppkey") % 7).cast("string")).alias("ward"))
+    return linkage.live(checks, placed, ["key"], "ward", ["s_suppkey"], "recorded").select("c_custkey", "ward", linkage.agreement(F.col("ward"), F.col("census")).alias("agree"))
+
+
+@_query("""
+WITH r AS (SELECT s_suppkey, s_nationkey b, s_suppkey % 4 t, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey % 5 END o FROM supplier), p AS (SELECT c_custkey, c_nationkey b, c_custkey % 4 t, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 5 END o FROM customer),
+f AS (SELECT c_custkey, p.o po, count(s_suppkey) m, count(r.o) told, min(s_suppkey) sole, count(*) FILTER (p.o = r.o) n, min(s_suppkey) FILTER (p.o = r.o) same FROM p LEFT JOIN r USING (b, t) GROUP BY 1, 2)
+SELECT c_custkey, CAST(CASE WHEN n = 1 THEN same WHEN m = 1 AND (po IS NULL OR told = 0) THEN sole END AS BIGINT) s_suppkey, CASE WHEN n = 1 THEN 'trait' WHEN m = 1 AND (po IS NULL OR told = 0) THEN 'block' END AS how FROM f""")
+def record_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and the one supplier of their block that fits."""
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("b"), (F.col("c_custkey") % 4).alias("t"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 5).alias("o"))
+    records = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), F.col("s_nationkey").alias("b"), (F.col("s_suppkey") % 4).alias("t"), F.when(F.col("s_suppkey") % 6 > 0, F.col("s_suppkey") % 5).alias("o"))
+    return linkage.linked(people, records, ["b", "t"], "o", "s_suppkey").select("c_custkey", "s_suppkey", "how")
+
+
+@_query("""
+WITH c AS (SELECT l_suppkey % 40 AS name, CAST(count(*) AS BIGINT) n FROM lineitem GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, name LIMIT 18) SELECT name, n, round(n * 100.0 / (SELECT max(n) FROM t), 1) width FROM t""")
+def top_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 18 longest bars with their widths."""
+    return A.bars(_t(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("name")).agg(F.count("*").alias("n")), "name", "n")
