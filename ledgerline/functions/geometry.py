@@ -107,3 +107,13 @@ def label_angle(dx: Column, dy: Column) -> Column:
     """The angle of a direction, turned so that text along it is upright; four decimals."""
     a = F.atan2(dy, dx)
     return F.round(F.when(a > F.pi() / 2, a - F.pi()).when(a < -F.pi() / 2, a + F.pi()).otherwise(a), 4)
+
+
+def vertex_mean(points: Column) -> Column:
+    """struct(x, y): the plain mean of points; null without any."""
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+
+    xs, ys = F.transform(points, lambda p: p["x"].cast("double")), F.transform(points, lambda p: p["y"].cast("double"))
+    return F.when(F.size(points) > 0, F.struct(mean(xs).alias("x"), mean(ys).alias("y")))

@@ -67,6 +67,24 @@ def occupation_key(raw: Column) -> Column:
     return F.when(F.length(s) >= 3, out)
 
 
+#: Directions that a street's label prints as they are, and how it prints types of streets.
+LABEL_DIRECTIONS = ("N", "S", "E", "W", "NE", "NW", "SE", "SW")
+LABEL_TYPES = {"ST": "St", "AVE": "Ave", "AV": "Ave", "RD": "Rd", "BLVD": "Blvd", "DR": "Dr", "LN": "Ln", "CT": "Ct", "PL": "Pl", "PKWY": "Pkwy", "HWY": "Hwy", "TER": "Ter", "CIR": "Cir", "WAY": "Way", "EXPWY": "Expwy"}
+
+
+def street_label(raw: Column) -> Column:
+    """A street's name in capitals as a label prints it: each word with one capital, or two after "Mc"."""
+    types = F.create_map(*[F.lit(x) for kv in LABEL_TYPES.items() for x in kv])
+
+    def printed(w: Column) -> Column:
+        low = F.lower(w)
+        scottish = F.concat(F.lit("Mc"), F.upper(F.substring(low, 3, 1)), F.substr(low, F.lit(4)))
+        capital = F.concat(F.upper(F.left(low, F.lit(1))), F.substr(low, F.lit(2)))
+        return F.when(w.isin(*LABEL_DIRECTIONS), w).otherwise(F.coalesce(F.element_at(types, w), F.when(low.rlike("^mc."), scottish).otherwise(capital)))
+
+    return F.array_join(F.transform(F.filter(F.split(raw, r"\s+"), lambda w: w != ""), printed), " ")
+
+
 def record_class(surname: Column, given: Column, occupation: Column) -> Column:
     """struct(category, subtype): institution by name, else business by occupation, else resident.
 

@@ -73,3 +73,10 @@ def map_class(value: Column, cuts: Sequence[float]) -> Column:
     for c in cuts:
         out = out + (value >= c).cast("int")
     return F.when(value.isNotNull(), out)
+
+
+def counted(listed: Column, placed: Column) -> Column:
+    """A sentence on how many were listed and placed, by which of the counts there are; '' without a count of those placed."""
+    n, p = F.format_number(listed, 0), F.format_number(placed, 0)
+    both = F.concat(n, F.lit(" residents parsed from the volume, "), p, F.lit(" placed on a map."))
+    return F.when((listed > 0) & (placed > 0), both).when(placed > 0, F.concat(p, F.lit(" residents placed on a map."))).otherwise("")

@@ -62,6 +62,11 @@ def to_map(df: DataFrame, by: Sequence[str], key: str, value: str, name: str = "
     return df.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias(name))
 
 
+def to_list(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rows") -> DataFrame:
+    """One row of each group with the list of its structs of the `order` columns, sorted by them."""
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias(name))
+
+
 def largest_totals(df: DataFrame, by: str, value: str, least: float, k: int) -> DataFrame:
     """(by, total): the k largest totals that reach `least`; ties by name."""
     return df.groupBy(by).agg(F.sum(value).alias("total")).filter(F.col("total") >= least).orderBy(F.desc("total"), by).limit(k)

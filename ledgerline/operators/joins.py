@@ -38,6 +38,25 @@ def append_new(existing: DataFrame, more: DataFrame, keys: Sequence[str]) -> Dat
     return more.join(existing.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
 
 
+def filled(base: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of base, and the rows of more whose keys base lacks; columns as in base."""
+    return base.unionByName(more.join(base.select(*keys).distinct(), list(keys), "left_anti").select(*base.columns))
+
+
+def back_joined(df: DataFrame, known: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """df with `value` of the first known row, in a total order, whose keys read the same but for case and outer space.
+
+    A null key finds nothing.
+    """
+    same = [F.lower(F.trim(F.col(c).cast("string"))) for c in keys]
+    names = [f"_k{i}" for i in range(len(keys))]
+    build = known.select(*[k.alias(n) for k, n in zip(same, names, strict=True)], F.col(value).alias("_v"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    build = first_wins(build, names, [f"_o{i}" for i in range(len(order))]).select(*names, "_v")
+    probes = df.select(F.struct(*df.columns).alias("_row"), *[k.alias(n) for k, n in zip(same, names, strict=True)])
+    met = probes.join(build, names, "left")
+    return met.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c != value], F.col("_v").alias(value))
+
+
 def next_after(left: DataFrame, right: DataFrame, key: str, at: str, beyond: str, slack: float = 0.0) -> DataFrame:
     """left with the smallest `beyond` of right, for the same key, strictly after `at` + slack; null if there is none.
 

@@ -283,9 +283,12 @@ def asof_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.next_after(left, right, "user_id", "us", "next_error").drop("us")
 
 
-@_query()
+@_query("""
+WITH o AS (SELECT o_custkey, o_totalprice v, row_number() OVER w i, lag(o_totalprice) OVER w p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), d AS (SELECT o_custkey, CASE WHEN sum(sign(v - p)) < 0 THEN -1 ELSE 1 END way FROM o GROUP BY 1),
+r AS (SELECT o.o_custkey, v * way s, way, max(v * way) OVER (PARTITION BY o.o_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) best FROM o JOIN d ON o.o_custkey = d.o_custkey)
+SELECT o_custkey, CAST(count(*) AS INTEGER) n, CAST(count(*) FILTER (best IS NULL OR s > best) AS INTEGER) kept, round(max(s) * any_value(way), 2) AS last FROM r GROUP BY 1""")
 def monotone_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of a customer's orders kept in the direction that most steps take; a fold that SQL has no plain form for."""
+    """Totals of a customer's orders kept in the direction that most steps take: what SQL sees as records of a running maximum."""
     orders = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("o"))
     kept = folds.monotone(F.transform("o", lambda x: x["o_totalprice"]))
     return orders.select("o_custkey", F.size("o").alias("n"), F.size(kept).alias("kept"), F.round(F.element_at(kept, -1), 2).alias("last"))
@@ -676,3 +679,165 @@ WITH c AS (SELECT l_suppkey % 40 AS name, CAST(count(*) AS BIGINT) n FROM lineit
 def top_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 longest bars with their widths."""
     return A.bars(_t(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("name")).agg(F.count("*").alias("n")), "name", "n")
+
+
+def _cases(table: str, cases: tuple[tuple[str, ...], ...], columns: tuple[str, ...]) -> str:
+    """SQL that gives the expected columns of the case that each customer's key picks."""
+    quoted = [[("NULL" if v is None else "'" + v.replace("'", "''") + "'") for v in row] for row in cases]
+    return f"SELECT c_custkey, {', '.join(f'CASE c_custkey % {len(cases)} ' + ' '.join(f'WHEN {i} THEN {row[j + 1]}' for i, row in enumerate(quoted)) + f' END AS {c}' for j, c in enumerate(columns))} FROM {table}"
+
+
+def _picked(cases: tuple[tuple[str, ...], ...]):
+    raw = F.lit(None).cast("string")
+    for i, row in enumerate(cases):
+        raw = F.when(F.col("c_custkey") % len(cases) == i, F.lit(row[0])).otherwise(raw)
+    return raw
+
+
+_LABELS = (("N MCHENRY ST", "N McHenry St"), ("MC EXPWY", "Mc Expwy"), (" BLUE  BALL BLVD", "Blue Ball Blvd"), ("NEW O'DONNELL LANE", "New O'donnell Lane"), ("", ""))
+
+
+@_query(_cases("customer", _LABELS, ("label",)))
+def street_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of streets as labels print them."""
+    return _t(spark, sf_dir, "customer").select("c_custkey", names.street_label(_picked(_LABELS)).alias("label"))
+
+
+_TRADES = (("Labr.", "laborer"), ("White washer", "whitewasher"), ("wash'r", "laundress"), ("ob", None), ("boot and shoemaker", "shoemaker"), ("rag  man", "rag man"), ("keeper of the old lamps", None), ("DRAYMAN, free", "drayman"))
+
+
+@_query(_cases("customer", _TRADES, ("trade",)))
+def occupation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What variants of an occupation are counted as."""
+    return _t(spark, sf_dir, "customer").select("c_custkey", names.occupation_key(_picked(_TRADES)).alias("trade"))
+
+
+@_query("""
+WITH c AS (SELECT p_brand, p_type, CAST(count(*) AS BIGINT) n, min(p_partkey) seen FROM part GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, seen) AS INTEGER) rank FROM c)
+SELECT p_brand, p_type, n, rank FROM r WHERE rank <= 3""")
+def top_by_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent types of each brand, ties by first appearance."""
+    counts = _t(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.min("p_partkey").alias("seen"))
+    return A.top_k(counts, ["p_brand"], [F.desc("n"), F.col("seen")], 3).drop("seen")
+
+
+@_query("""
+WITH k AS (SELECT s_nationkey a, s_suppkey % 3 b, arg_min(s_acctbal, s_suppkey) v FROM supplier GROUP BY 1, 2)
+SELECT c_custkey, round(v, 2) balance FROM customer LEFT JOIN k ON a = c_nationkey AND b = c_custkey % 4""")
+def back_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance of the first supplier with a customer's two keys, however they are written."""
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" n"), "c_nationkey", F.lit(" ")).alias("a"), (F.col("c_custkey") % 4).alias("b"))
+    known = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("a"), (F.col("s_suppkey") % 3).alias("b"), F.round("s_acctbal", 2).alias("balance"), "s_suppkey")
+    return joins.back_joined(people, known, ["a", "b"], "balance", ["s_suppkey"]).select("c_custkey", "balance")
+
+
+@_query("""
+WITH l AS (SELECT o_custkey k, max(o_orderkey) o FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 IN (1, 2) GROUP BY 1)
+SELECT c_custkey, '1845|ab' || c_custkey || '|jo' AS person, CAST(o AS BIGINT) linked FROM customer LEFT JOIN l ON k = c_custkey""")
+def trusted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People with the last link that was found with confidence, by their key."""
+    key = lambda c: names.person_key(F.lit(1845), F.concat(F.lit(" Ab"), c), F.lit("Jo  Ann"))
+    found = F.when(F.col("o_orderkey") % 3 == 0, "no").otherwise("yes")
+    sure = F.when(F.col("o_orderkey") % 5 == 1, "high").when(F.col("o_orderkey") % 5 == 2, "medium").when(F.col("o_orderkey") % 5 == 3, "low")
+    links = _t(spark, sf_dir, "orders").filter(values.trusted(found, sure)).select(key("o_custkey").alias("key"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
+    people = _t(spark, sf_dir, "customer").select("c_custkey", key("c_custkey").alias("person"))
+    known = joins.last_wins(links, ["key"], ["o_orderkey"]).withColumnRenamed("key", "person")
+    return linkage.enriched(people, known, "person", ["o_orderkey"]).select("c_custkey", "person", F.col("link.o_orderkey").alias("linked"))
+
+
+@_query("""
+WITH e AS (SELECT c_nationkey k, min(c_custkey) lo, max(c_custkey) hi FROM customer GROUP BY 1), p AS (SELECT c_custkey, c_custkey % 5 t, c_nationkey % 3 - 1 dx, c_nationkey % 2 * 2 - 1 dy, lo, hi, CASE WHEN hi = lo THEN 0.5 ELSE (c_custkey - lo) / (hi - lo)::DOUBLE END s FROM customer JOIN e ON k = c_nationkey)
+SELECT c_custkey, round(CASE WHEN hi <> lo AND ((t = 0 AND dy < 0) OR (t = 1 AND dy > 0) OR (t = 2 AND dx < 0) OR (t = 3 AND dx > 0)) THEN 1 - s ELSE s END, 6) share FROM p""")
+def proportional_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers between the lowest and highest number seen in their nation, turned by what a note says."""
+    rows = _t(spark, sf_dir, "customer")
+    ends = rows.groupBy("c_nationkey").agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"))
+    t = F.col("c_custkey") % 5
+    note = F.when(t == 0, "runs North then south").when(t == 1, "SOUTH from the water").when(t == 2, "east").when(t == 3, "to the west")
+    share = joins.proportional(F.col("c_custkey"), F.col("lo"), F.col("hi"), note, F.col("c_nationkey") % 3 - 1, F.col("c_nationkey") % 2 * 2 - 1)
+    return rows.join(ends, "c_nationkey").select("c_custkey", F.round(share, 6).alias("share"))
+
+
+@_query("""
+WITH l AS (SELECT s_nationkey k, s_suppkey % 3 lad, min(s_suppkey) low, max(s_suppkey) high, count(*) rungs FROM supplier GROUP BY 1, 2, s_suppkey % 2), p AS (SELECT c_custkey, c_nationkey k, c_custkey % 100 v FROM customer),
+s AS (SELECT c_custkey, lad, max(CASE WHEN rungs >= 2 AND v BETWEEN low AND high THEN rungs ELSE 0 END) score, min(low) o FROM p JOIN l USING (k) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, o) rn, count(*) OVER (PARTITION BY c_custkey) n FROM s)
+SELECT c.c_custkey, CAST(lad AS BIGINT) ladder FROM customer c LEFT JOIN b ON b.c_custkey = c.c_custkey AND rn = 1 AND (n = 1 OR score > 0)""")
+def ladder_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a nation's ladders, the one with the longest side that brackets a customer's number."""
+    sides = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 3).cast("bigint").alias("ladder"), (F.col("s_suppkey") % 2).alias("side"))
+    sides = sides.agg(F.min("s_suppkey").alias("low"), F.max("s_suppkey").alias("high"), F.count("*").alias("rungs")).withColumn("o", F.col("low"))
+    people = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("street"), (F.col("c_custkey") % 100).alias("v"))
+    return joins.best_ladder(people, "c_custkey", "street", "v", sides, "k", "ladder", "o").select("c_custkey", "ladder")
+
+
+@_query("WITH a AS (SELECT c_custkey, atan2(c_custkey - 50.0, c_acctbal) a FROM customer) SELECT c_custkey, round(CASE WHEN a > pi() / 2 THEN a - pi() WHEN a < -pi() / 2 THEN a + pi() ELSE a END, 4) angle FROM a")
+def label_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", geometry.label_angle(F.col("c_acctbal"), F.col("c_custkey") - 50.0).alias("angle"))
+
+
+@_query(f"{_BLOCKS_SQL} SELECT k AS key, round(x + 5, 4) cx, round(y + 5, 4) cy FROM b")
+def block_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each block's corners."""
+    return _blocks(spark, sf_dir).select("key", geometry.vertex_mean(F.col("ring")).alias("c")).select("key", F.round("c.x", 4).alias("cx"), F.round("c.y", 4).alias("cy"))
+
+
+@_query("""
+WITH b AS (SELECT p_partkey, p_brand, p_type FROM part WHERE p_size <= 5) SELECT p_partkey, p_brand, p_type FROM b UNION ALL SELECT p_partkey, p_brand, p_type FROM part p WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM b WHERE b.p_brand = p.p_brand AND b.p_type = p.p_type)""")
+def filled_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of one source, and those of the next whose keys it lacks."""
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    return joins.filled(part.filter("p_size <= 5").drop("p_size"), part.filter("p_size > 25"), ["p_brand", "p_type"])
+
+
+@_query("SELECT p_partkey, split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' END || split_part(p_name, ' ', 2) || ' end' AS line FROM part")
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one entry as one, across hyphens."""
+    words = F.split("p_name", " ")
+    first = F.concat(F.get(words, 0), F.when(F.col("p_partkey") % 2 == 0, "-").otherwise(""))
+    return _t(spark, sf_dir, "part").select("p_partkey", folds.join_lines(F.array(first, F.get(words, 1), F.lit("end"))).alias("line"))
+
+
+@_query("""
+WITH v AS (SELECT p_brand, list_sort(list(CAST(p_size AS DOUBLE))) v FROM part GROUP BY 1), h AS (SELECT p_brand, list_reduce(list_transform(v, lambda x: [x]), lambda seen, x: list_append(seen, CASE WHEN x[1] - seen[-1] > 4 THEN x[1] ELSE seen[-1] END)) heads FROM v)
+SELECT p_brand, CAST(len(heads) AS INTEGER) words, CAST(list_unique(heads) AS INTEGER) visual_rows, heads[-1] AS last_head FROM h""")
+def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places gathered to rows: one further than 4 from the first of its row opens another."""
+    rows = _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.col("p_size").cast("double"))).alias("v"))
+    heads = rows.select("p_brand", folds.cluster_heads(F.col("v"), 4.0).alias("h"))
+    return heads.select("p_brand", F.size("h").alias("words"), F.size(F.array_distinct("h")).alias("visual_rows"), F.element_at("h", -1).alias("last_head"))
+
+
+@_query("SELECT s_nationkey, string_agg(s_suppkey % 4 || ':' || s_suppkey, ' ' ORDER BY s_suppkey % 4, s_suppkey) AS rungs FROM supplier GROUP BY 1")
+def stable_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rungs of each ladder by number alone, in printed order where numbers repeat."""
+    rungs = _t(spark, sf_dir, "supplier").select("s_nationkey", (F.col("s_suppkey") % 4).alias("no"), F.col("s_suppkey").alias("seq"))
+    text = F.array_join(F.transform("rungs", lambda r: F.concat_ws(":", r["no"].cast("string"), r["seq"].cast("string"))), " ")
+    return A.to_list(rungs, ["s_nationkey"], ["no", "seq"], "rungs").select("s_nationkey", text.alias("rungs"))
+
+
+@_query("""
+WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) yr, count(*) n, count(*) FILTER (o_orderpriority = '1-URGENT') p FROM orders GROUP BY 1)
+SELECT yr, CASE WHEN p = 0 THEN '' WHEN yr % 2 = 0 THEN format('{:,}', n) || ' residents parsed from the volume, ' || format('{:,}', p) || ' placed on a map.' ELSE format('{:,}', p) || ' residents placed on a map.' END AS line FROM y""")
+def counted_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each year, by which counts are known of it."""
+    years = _t(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("yr")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("p"))
+    return years.select("yr", values.counted(F.when(F.col("yr") % 2 == 0, F.col("n")), F.col("p")).alias("line"))
+
+
+@_query("""
+WITH p AS (SELECT n_nationkey k, i FROM nation, range(0, 10) r(i) WHERE i % 4 <> n_nationkey % 4), g AS (SELECT *, i - row_number() OVER (PARTITION BY k ORDER BY i) run FROM p), l AS (SELECT k, min(i) * 10.0 x, count(*) * 10.0 length FROM g GROUP BY k, run),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length DESC, x) rn FROM l) SELECT k AS key, CAST(x AS DOUBLE) AS starts, CAST(length AS DOUBLE) length FROM r WHERE rn = 1""")
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each nation's level line, with gaps, merged: where the longest whole one starts, and its length."""
+    pieces = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).filter("i % 4 <> key % 4")
+    lines = pieces.select("key", F.array(_point(F.col("i") * 10, F.lit(0)), _point(F.col("i") * 10 + 10, F.lit(0))).alias("points"))
+    whole = spatial.longest_line(lines, "key", "points")
+    return whole.select("key", F.array_min(F.transform("points", lambda p: p["x"])).alias("starts"), geometry.line_length(F.col("points")).alias("length"))
+
+
+@_query("SELECT n_nationkey AS key, CAST(CASE WHEN n_nationkey * 0.25 > 2 THEN 3 ELSE 2 END AS INTEGER) points FROM nation")
+def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points left of lines whose middle one lies further and further off."""
+    bump = F.array(_point(F.lit(0), F.lit(0)), _point(F.lit(50), F.col("n_nationkey") * 0.25), _point(F.lit(100), F.lit(0)))
+    lines = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), bump.alias("points"))
+    return spatial.simplify(lines, "points", 2.0).select("key", F.size("points").alias("points"))
