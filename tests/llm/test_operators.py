@@ -126,6 +126,23 @@ def test_substring_dedup_takes_whole_passages(spark):
         assert got is None or (got[0]["n_removed"] == 0 and got[1]["words_removed"] == sum(sizes))
 
 
+def test_substring_dedup_finds_every_passage_of_51_words_and_no_shorter_one(spark):
+    def text(k, m):
+        return " ".join(w + "." * (i % 19 == 18) for i, w in enumerate(words(m, k)))
+
+    texts, late = [], []
+    for k in range(40):
+        passage = text(600 + k, 70).split()
+        part = passage[k % 19 : k % 19 + (51 if k % 4 else 50)]
+        # Every third passage's middle stands in an earlier document too, so that its spans have their first places there.
+        texts += [f"{text(700 + k, 30)} {' '.join(part[5:43])} {text(800 + k, 9)}"] if k % 3 == 0 else []
+        texts.append(f"{text(900 + k, 33)} {' '.join(part)} {text(1000 + k, 20)}")
+        texts.append(f"{text(1100 + k, 21)} {' '.join(part)} {text(1200 + k, 31)}")
+        late += [len(texts) - 1] if k % 4 else []
+    got = {r["doc_id"]: r["words_removed"] for r in substring_dedup.remove_repeats(frame(spark, texts)).collect()}
+    assert sorted(i for i in got if got[i]) == late and max(got.values()) <= 51
+
+
 def test_substring_dedup_finds_passages_without_sentence_marks(spark):
     passage = " ".join(words(80, 500))
     texts = [" ".join(words(37, 501)) + " " + passage + " " + " ".join(words(20, 502)), " ".join(words(33, 503)) + " " + passage + " " + " ".join(words(25, 504)), " ".join(words(150, 505))]
