@@ -8,8 +8,7 @@ its slots are filled consistently there: one value of the item stands for one va
 
 from __future__ import annotations
 
-import re
-from hashlib import blake2b
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +23,96 @@ UNITS = frozenset("mm cm m km in ft yd mi miles mile inches inch feet foot meter
 NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 #: Template windows of a benchmark up to which executors hold their hashes to thin the documents' windows.
 HELD = 2_000_000
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 _NUMBER, _UNIT, _NAME = 1, 2, 3
-_KEPT = 400_000
-
-
-class Templates(dict):
-    """Numbers the template tokens seen, up to a bound, and keeps their hashes and kinds."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hash = np.zeros(1 << 16, dtype=np.uint64)
-        self.kind = np.zeros(1 << 16, dtype=np.int8)  # 0 word, 1 number, 2 unit, 3 capitalised, 4 stop
-
-    def __missing__(self, token: str) -> int:
-        i = len(self)
-        if i >= len(self.hash):
-            self.hash, self.kind = np.resize(self.hash, 2 * i), np.resize(self.kind, 2 * i)
-        low = token.lower()
-        self.kind[i] = 4 if token in ".!?\n" else 1 if token[0].isdecimal() or low in NUMBERS else 2 if low in UNITS else 3 if token[0].isupper() else 0
-        self.hash[i] = int.from_bytes(blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[token] = i
-        return i
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """(hash, placeholder type or 0, hash as a word, whether capitalised) of the whole text's template tokens, and all
-        tokens with the places of these among them.
-
-        A capitalised word is a name unless it opens a sentence; a unit is one only after a number.
-        """
-        tokens = _TOKEN.findall(text or "")
-        if len(self) >= _KEPT:
-            self.clear()
-        ids = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        kind, word = self.kind[ids], self.hash[ids]
-        h = word.copy()
-        opens = np.concatenate(([True], kind[:-1] == 4)) if len(ids) else np.zeros(0, bool)
-        after = np.concatenate(([False], kind[:-1] == 1)) if len(ids) else np.zeros(0, bool)
-        slot = np.where(kind == 1, _NUMBER, np.where((kind == 2) & after, _UNIT, np.where((kind == 3) & ~opens, _NAME, 0)))
-        h[slot > 0] = slot[slot > 0].astype(np.uint64)
-        keep = np.flatnonzero(kind != 4)
-        return h[keep], slot[keep], word[keep], kind[keep] == 3, tokens, keep
+#: Classes of code points; a token has that of its first.
+_OTHER, _LETTER, _DIGIT, _STOP = 0, 1, 2, 3
+
+
+@lru_cache(maxsize=3)
+def _points(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the code points below size: the class, whether it is a capital, and a hash of its lower case."""
+    chars = [chr(i) for i in range(size)]
+    kind = np.array([_DIGIT if c.isdecimal() else _LETTER if c.isalnum() else _OTHER for c in chars], dtype=np.int8)
+    kind[[ord(c) for c in ".!?\n"]] = _STOP
+    low = [c.lower() for c in chars]
+    low = np.array([ord(x if len(x) == 1 else c) for c, x in zip(chars, low, strict=True)], dtype=np.uint64)
+    return kind, np.array([c.isupper() for c in chars]), mix64((low + _U(1)) * _U(0x9E3779B97F4A7C15))
+
+
+def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << max(18, n.bit_length()))
+
+
+def _coded(text: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The code points of a text, and _points for as many as they need."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    top = int(points.max(initial=0))
+    return points, _points(next(n for n in (1 << 14, 1 << 17, 0x110000) if top < n))
+
+
+def _spelt(points: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the lower-case code points from each start to each end."""
+    up, down = _scales(len(points))
+    total = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(term[points] * up[: len(points)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+@lru_cache(maxsize=100_000)
+def _word(token: str) -> int:
+    """The hash of one lower-case token."""
+    points, (_, _, term) = _coded(token)
+    return int(_spelt(points, term, np.zeros(1, np.int64), np.full(1, len(points)))[0])
+
+
+@lru_cache(maxsize=1)
+def _fixed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted hashes of the fixed words with what each is, and by the last 16 bits whether there is any."""
+    kinds = {_word(x): _UNIT for x in UNITS} | {_word(x): _NUMBER for x in NUMBERS}
+    own = np.array(sorted(kinds), dtype=np.uint64)
+    some = np.zeros(1 << 16, bool)
+    some[own & _U(0xFFFF)] = True
+    return own, np.array([kinds[int(x)] for x in own], dtype=np.int8), some
+
+
+def templates(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, placeholder type or 0, hash as a word, whether capitalised) of the whole text's template tokens, and where they
+    start and end in the text.
+
+    Tokens are runs of letters, numbers with . and , between digits, and the stops, which are no template tokens. A
+    capitalised word is a name unless it opens a sentence; a unit is one only after a number.
+    """
+    text = text or ""
+    points, (kinds, capital, term) = _coded(text)
+    of = kinds[points]
+    at = np.flatnonzero((points[1:-1] == 0x2E) | (points[1:-1] == 0x2C)) + 1
+    of[at[(of[at - 1] == _DIGIT) & (of[at + 1] == _DIGIT)]] = _DIGIT
+    turn = np.ones(len(of) + 1, bool)
+    turn[1:-1] = of[1:] != of[:-1]
+    stop = of == _STOP
+    turn[:-1] |= stop
+    turn[1:] |= stop
+    edge = np.flatnonzero(turn)
+    some = of[edge[:-1]] > _OTHER
+    start, end = edge[:-1][some], edge[1:][some]
+    kind = of[start]
+    word = _spelt(points, term, start, end)
+    if "\u0130" in text or "\u03a3" in text:  # their lower case is of two code points, or of what stands beside them
+        for i in np.unique(np.searchsorted(start, np.flatnonzero((points == 0x130) | (points == 0x3A3)), side="right") - 1).tolist():
+            word[i] = _word(text[start[i] : end[i]].lower())
+    own, what, found = _fixed()
+    fixed = np.zeros(len(kind), dtype=np.int8)
+    at = np.flatnonzero(found[word & _U(0xFFFF)])
+    place = np.minimum(np.searchsorted(own, word[at]), len(own) - 1)
+    fixed[at] = np.where(own[place] == word[at], what[place], 0)
+    number = (kind == _DIGIT) | (fixed == _NUMBER)
+    big = (kind == _LETTER) & (fixed == 0) & capital[points[start]]
+    opens = np.concatenate(([True], kind[:-1] == _STOP)) if len(kind) else np.zeros(0, bool)
+    after = np.concatenate(([False], number[:-1])) if len(kind) else np.zeros(0, bool)
+    slot = np.where(number, _NUMBER, np.where((fixed == _UNIT) & after, _UNIT, np.where(big & ~opens, _NAME, 0)))
+    keep = np.flatnonzero(kind != _STOP)
+    slot, word = slot[keep], word[keep]
+    return np.where(slot > 0, slot.astype(np.uint64), word), slot, word, big[keep], start[keep], end[keep]
 
 
 class Windows:
@@ -72,7 +120,7 @@ class Windows:
 
     def __init__(self, h: np.ndarray) -> None:
         self.x = mix64(h ^ _U(0xA0761D6478BD642F))
-        up, self.down = _powers(1 << max(10, len(h).bit_length()))
+        up, self.down = _scales(len(h))
         self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.x * up[: len(h)], dtype=np.uint64)))
 
     def raw(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -84,14 +132,14 @@ def _hashed(raw: np.ndarray, k: int) -> np.ndarray:
     return mix64(raw + _U(k))
 
 
-def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, either: bool):
+def _rows(key, text, sizes, wanted: np.ndarray | None, either: bool):
     """Columns of the (wanted) windows of a text: key, size, position, hash, and the slots' values.
 
     Windows with names are hashed with these as words too, for copies in another letter case; with `either`, those with a
     capitalised first word also with that one alone the other way, as what stands before it decides whether it is a name.
     Windows of placeholders alone say nothing and are left out.
     """
-    h, slot, word, capital, tokens, keep = templates(text)
+    h, slot, word, capital, start, end = templates(text)
     if not len(h) or len(h) < min(sizes, default=1):
         return
     named = slot == _NAME
@@ -100,6 +148,10 @@ def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, eit
     filled, also = (np.concatenate(([0], np.cumsum(x > 0))) for x in (slot, bare))
     own, plain = Windows(h), Windows(np.where(named, word, h))
     turned = mix64(np.where(named, word, _U(_NAME)) ^ _U(0xA0761D6478BD642F)) - own.x if either else None
+
+    def value(i: int) -> str:
+        return text[start[i] : end[i]].lower()
+
     for k in sizes:
         n = len(h) - k + 1
         if n < 1:
@@ -117,8 +169,8 @@ def _rows(templates: Templates, key, text, sizes, wanted: np.ndarray | None, eit
                 met = wanted[place] == w
                 w, at = w[met], at[met]
             for i, x in zip(at.tolist(), w.view(np.int64).tolist(), strict=True):
-                first = [tokens[keep[i]].lower()] if (kinds[i] > 0) != turn else []
-                yield key, k, i, x, first + [tokens[keep[j]].lower() for j in range(i + 1, i + k) if kinds[j] > 0]
+                first = [value(i)] if (kinds[i] > 0) != turn else []
+                yield key, k, i, x, first + [value(j) for j in range(i + 1, i + k) if kinds[j] > 0]
 
 
 def _table(rows, key: str) -> pa.RecordBatch:
@@ -129,14 +181,13 @@ def _table(rows, key: str) -> pa.RecordBatch:
 
 def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted=None, either: bool = False) -> DataFrame:
     def run(batches):
-        templates = Templates()
         held = None if wanted is None else wanted.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows.extend(_rows(templates, i, t, sizes, held, either))
+                    rows.extend(_rows(i, t, sizes, held, either))
                     if len(rows) > 20_000:
                         yield _table(rows, key)
                         rows = []
@@ -165,9 +216,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 8, cover: flo
     items = benchmark.select(_key(item_id).alias("item"), item_id.alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["item"])
 
     def length(batches):
-        t = Templates()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t(x)[0]) for x in batch.column(1).to_pylist()], pa.int64())], names=["item", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(templates(x)[0]) for x in batch.column(1).to_pylist()], pa.int64())], names=["item", "n"])
 
     sizes = cut(items.select("item", "text").mapInArrow(length, "item bigint, n bigint").filter("n > 0").select("item", F.least("n", F.lit(k)).cast("int").alias("size")))
     found = sorted(r[0] for r in sizes.select("size").distinct().collect())

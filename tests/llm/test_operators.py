@@ -188,6 +188,28 @@ def test_decontamination_finds_other_values(spark):
     assert got[0]["exact"] and not got[1]["exact"] and got[1]["item_ids"] == [7]
 
 
+def test_template_tokens_against_a_plain_model():
+    token = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
+    rng = np.random.default_rng(5)
+    texts = ["", None, "ten Km 5 KM. Two months, 1.2.3,4 .5 6..7 8.,9 a1b2 snake_case x\u00b2", "\u0394\u03a3 \u03b4\u03c2 \u0130stanbul \u01c5a \U0001f600 \u4e2d\u6587 \u0661\u0662.\u0663 \U0001d400b"]
+    texts += ["".join(rng.choice(list("aAbB12 .,!?\n_\u03a3\u0130\u00e9\u00c9\u4e2d\u0663-"), rng.integers(1, 40))) for _ in range(500)]
+    texts.append("Km one " * 3 + "1,000 Words of " * 70_000)
+    hashes = {}
+    for text in texts:
+        found, was, want = token.findall(text or ""), ".", []
+        for t in found:
+            number = was[0].isdecimal() or was.lower() in decontaminate.NUMBERS
+            big = t[0].isupper() and t.lower() not in decontaminate.NUMBERS | decontaminate.UNITS
+            kind = 1 if t[0].isdecimal() or t.lower() in decontaminate.NUMBERS else 2 if t.lower() in decontaminate.UNITS and number else 3 if big and was not in ".!?\n" else 0
+            want += [] if t in ".!?\n" else [(t, kind, big)]
+            was = t
+        h, slot, word, capital, start, end = decontaminate.templates(text)
+        assert [(text[a:z], k, c) for a, z, k, c in zip(start.tolist(), end.tolist(), slot.tolist(), capital.tolist(), strict=True)] == want
+        assert all(hashes.setdefault(t.lower(), w) == w for (t, _, _), w in zip(want, word.tolist(), strict=True))
+        assert h.tolist() == [k or w for k, w in zip(slot.tolist(), word.tolist(), strict=True)]
+    assert len(set(hashes.values())) == len(hashes)
+
+
 def test_decontamination_finds_short_items_in_any_context_and_case(spark):
     item = "What is the capital of France?"
     bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
