@@ -70,12 +70,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def written(df: DataFrame):
-    """df as a Parquet table in the shared checkpoint folder, which goes when the block ends."""
-    spark = df.sparkSession
+    """df as a Parquet table in the shared checkpoint folder, which goes when the block ends.
+
+    df itself is not held meanwhile, so that its shuffle files can go.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    del df
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield spark.read.schema(schema).parquet(path)
     finally:
         remove(spark, path)
 

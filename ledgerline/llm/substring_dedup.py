@@ -179,7 +179,7 @@ def repeated(docs: DataFrame, several: int = 2, words: int = 15, alone: int = 50
         again = _merged(met.filter("doc_id <> source or shift <> 0"), "doc_id", "source", "shift")
         whole = Window.partitionBy("doc_id", "source", "shift", "run")
         again = held.enter_context(written(again.select("hash", "doc_id", "low", "high", (F.max("high").over(whole) - F.min("low").over(whole) >= least).alias("long"))))
-        short = again.filter("not long").select("hash").distinct()
+        short = cut(again.filter("not long").select("hash").distinct())
         near = _by_doc(met.join(short, "hash", "left_semi"))
         _tidy(docs.sparkSession)
         runs = held.enter_context(written(_window_rows(docs, near, words, least)))
