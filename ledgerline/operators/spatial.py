@@ -26,16 +26,21 @@ def _boxed(df: DataFrame, points: Column, by: float = 0.0) -> DataFrame:
     return df.select("*", (F.array_min(xs) - by).alias("_x0"), (F.array_min(ys) - by).alias("_y0"), (F.array_max(xs) + by).alias("_x1"), (F.array_max(ys) + by).alias("_y1"))
 
 
-def _meet(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxed rows whose boxes touch, each once; the columns of each side in the structs l and r."""
+def _meet(left: DataFrame, right: DataFrame, cell: float, ways: tuple[Column, Column] | None = None) -> DataFrame:
+    """Pairs of boxed rows whose boxes touch, each once; the columns of each side in the structs l and r.
 
-    def spread(df: DataFrame, side: str) -> DataFrame:
+    ways: for each left row an array of the ways it may meet, and each right row's own; other pairs are never made. The
+    join is dealt out by cells, as a small file's one partition would make all pairs if a side were broadcast to it.
+    """
+
+    def spread(df: DataFrame, side: str, way: Column) -> DataFrame:
         def cells(axis: str) -> Column:
             return F.explode(F.sequence(F.floor(F.col(f"_{axis}0") / cell), F.floor(F.col(f"_{axis}1") / cell)))
 
-        return df.select(F.struct(*df.columns).alias(side), "*").withColumn("_cx", cells("x")).select(side, "_cx", cells("y").alias("_cy"))
+        return df.select(F.struct(*df.columns).alias(side), "*").withColumn("_way", way).withColumn("_cx", cells("x")).select(side, "_way", "_cx", cells("y").alias("_cy"))
 
-    met = spread(left, "l").join(spread(right, "r"), ["_cx", "_cy"])
+    meets, own_way = (F.explode(ways[0]), ways[1]) if ways else (F.lit(0), F.lit(0))
+    met = spread(left, "l", meets).join(spread(right, "r", own_way).hint("merge"), ["_cx", "_cy", "_way"])
     touch = (F.col("l._x0") <= F.col("r._x1")) & (F.col("r._x0") <= F.col("l._x1")) & (F.col("l._y0") <= F.col("r._y1")) & (F.col("r._y0") <= F.col("l._y1"))
     own = (F.col("_cx") == F.floor(F.greatest("l._x0", "r._x0") / cell)) & (F.col("_cy") == F.floor(F.greatest("l._y0", "r._y0") / cell))
     return met.filter(touch & own)
@@ -52,12 +57,19 @@ def _segments(df: DataFrame, key: str, points: str, closed: bool, by: float = 0.
 def crossings(lines: DataFrame, key: str, points: str, cell: float) -> DataFrame:
     """key_a < key_b and x, y of every point where two lines cross or touch; parallel overlaps give no point.
 
-    A key may hold several lines; points nearer than 0.000001 are one.
+    A key may hold several lines; points nearer than 0.000001 are one. Level segments are not paired with each other, nor
+    upright ones: they are parallel.
     """
     parts = _segments(lines, key, points, closed=False)
-    met = _meet(parts, parts, cell).filter(F.col("l.key") < F.col("r.key"))
-    at = met.select(F.col("l.key").alias("key_a"), F.col("r.key").alias("key_b"), geometry.segment_crossing(F.col("l.a"), F.col("l.b"), F.col("r.a"), F.col("r.b")).alias("p"))
-    return at.filter("p is not null").select("key_a", "key_b", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")).distinct()
+    level, upright = F.col("a.y") == F.col("b.y"), F.col("a.x") == F.col("b.x")
+    parts = parts.filter(~(level & upright))  # a point is parallel to all
+    others = F.when(level, F.array(F.lit(1), F.lit(2))).when(upright, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    way = F.when(level, 0).when(upright, 1).otherwise(2)
+    met = _meet(parts, parts, cell, (others, way)).filter(F.col("l.key") < F.col("r.key"))
+    point = geometry.segment_crossing(F.col("l.a"), F.col("l.b"), F.col("r.a"), F.col("r.b"))
+    # Exploded, as a filter would be worked out within the join, in one method too large for the JVM to compile.
+    at = met.select(F.col("l.key").alias("key_a"), F.col("r.key").alias("key_b"), F.explode(F.array_compact(F.array(point))).alias("p"))
+    return at.select("key_a", "key_b", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")).distinct()
 
 
 def adjacent(polygons: DataFrame, key: str, ring: str, within: float, cell: float) -> DataFrame:

@@ -125,3 +125,16 @@ def test_aliases_of_notes_and_carried_values(spark):
     assert [[tuple(p) for p in r["p"]] for r in got] == [[("GRAVEL", "TYSON", "now")], [("GRAVEL", "PEARL", "formerly")], [], [("OAK", "ELM", "now"), ("ASH ROW", "OAK", "formerly")], [], []]
     df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None)], "k string, i int, v string")
     assert sorted((r["k"], r["i"], r["v"]) for r in folds.carried(df, ["k"], ["i"], ["v"]).collect() if r["v"]) == [("a", 2, "x"), ("a", 3, "x")]
+
+
+def test_crossings_equal_all_pairs_and_parallel_lines_make_none(spark, monkeypatch):
+    rng, meet, made = np.random.default_rng(5), spatial._meet, []
+    monkeypatch.setattr(spatial, "_meet", lambda *a, **k: made.append(meet(*a, **k)) or made[-1])
+    ends = [[(0.0, 3.0), (9.0, 3.0)]] * 200 + [[(4.0, -1.0), (4.0, 9.0)], [(6.0, 3.0), (6.0, 3.0)]] + rng.integers(-6, 7, (40, 2, 2)).astype(float).tolist()
+    rows = [(k, [tuple(p) for p in e]) for k, e in enumerate(ends)]
+    got = sorted(tuple(r) for r in spatial.crossings(spark.createDataFrame(rows, f"k int, p {POINTS}"), "k", "p", 5.0).collect())
+    lines = spark.createDataFrame([(k, *e) for k, e in rows], "k int, a struct<x:double,y:double>, b struct<x:double,y:double>")
+    all_pairs = lines.alias("l").crossJoin(lines.alias("r")).filter("l.k < r.k").select("l.k", "r.k", geometry.segment_crossing(F.col("l.a"), F.col("l.b"), F.col("r.a"), F.col("r.b")).alias("p"))
+    want = sorted((a, b, round(p["x"], 6), round(p["y"], 6)) for a, b, p in all_pairs.collect() if p)
+    assert len(want) > 200 and [x[:2] for x in got] == [x[:2] for x in want] and np.allclose(got, want, atol=1e-6)
+    assert len(made[0].collect()) < 200 * 199 / 2
