@@ -802,9 +802,11 @@ WITH v AS (SELECT p_brand, list_sort(list(CAST(p_size AS DOUBLE))) v FROM part G
 SELECT p_brand, CAST(len(heads) AS INTEGER) words, CAST(list_unique(heads) AS INTEGER) visual_rows, heads[-1] AS last_head FROM h""")
 def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places gathered to rows: one further than 4 from the first of its row opens another."""
-    rows = _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.col("p_size").cast("double"))).alias("v"))
-    heads = rows.select("p_brand", folds.cluster_heads(F.col("v"), 4.0).alias("h"))
-    return heads.select("p_brand", F.size("h").alias("words"), F.size(F.array_distinct("h")).alias("visual_rows"), F.element_at("h", -1).alias("last_head"))
+    # Equal places have one head, so what is gathered of a brand is its different places, however many words stand there.
+    places = _t(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").cast("double").alias("at")).agg(F.count("p_size").alias("n"))
+    rows = places.groupBy("p_brand").agg(F.sum("n").cast("int").alias("words"), F.sort_array(F.collect_list("at")).alias("v"))
+    heads = rows.select("p_brand", "words", folds.cluster_heads(F.col("v"), 4.0).alias("h"))
+    return heads.select("p_brand", "words", F.size(F.array_distinct("h")).alias("visual_rows"), F.try_element_at("h", F.lit(-1)).alias("last_head"))
 
 
 @_query("SELECT s_nationkey, string_agg(s_suppkey % 4 || ':' || s_suppkey, ' ' ORDER BY s_suppkey % 4, s_suppkey) AS rungs FROM supplier GROUP BY 1")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import printed
 from ledgerline.operators import folds, linkage, statistics
+from ledgerline.plans import catalogue
 
 ROW = "id int, r array<struct<x: int, word: string>>"
 
@@ -42,3 +43,17 @@ def test_links_with_payload_and_agreement(spark):
 
 def test_published_p_value():
     assert round(statistics.fisher_exact(11, 3, 9, 5), 4) == 0.6776
+
+
+def test_cluster_heads_of_a_long_array_in_one_pass(spark):
+    rows = {1: [1.0, 5.0, 5.5, 9.0, 10.0], 2: [], 3: None, 4: [None, 1.0, 9.0], 5: [2.0, 2.0, float("inf"), float("inf")], 6: [float(x // 3) for x in range(120_000)]}
+    got = {r["i"]: r["h"] for r in spark.createDataFrame(list(rows.items()), "i int, v array<double>").select("i", folds.cluster_heads(F.col("v"), 4.0).alias("h")).collect()}
+    assert [got[i] for i in range(1, 6)] == [[1, 1, 5.5, 5.5, 10], [], None, [None] * 3, [2, 2, float("inf"), float("inf")]]
+    assert got[6] == [float(x // 15 * 5) for x in range(120_000)]
+
+
+def test_visual_rows_count_equal_places_and_brands_without_any(spark, tmp_path):
+    rows = [("a", x % 3 * 10) for x in range(1000)] + [("b", None), ("c", 7)]
+    spark.createDataFrame(rows, "p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_brand"]: tuple(r)[1:] for r in catalogue.visual_rows(spark, str(tmp_path)).collect()}
+    assert got == {"a": (1000, 3, 20.0), "b": (0, 0, None), "c": (1, 1, 7.0)}
