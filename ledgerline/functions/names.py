@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.values import let
+
 #: Street types that a key leaves out, longest forms first, and directions.
 STREET_TYPES = "STREET|ST|AVENUE|AVE|AV|ALLEY|ALY|AL|LANE|LA|ROAD|RD|COURT|CT|PLACE|PL|WHARF|WHF|SQUARE|SQ|TERRACE|TER|BOULEVARD|BLVD|DRIVE|DR|PARKWAY|PKWY|HIGHWAY|HWY|CIRCLE|CIR|TURNPIKE|PIKE|WAY|RUN"
 DIRECTIONS = "NORTH|SOUTH|EAST|WEST|N|S|E|W"
@@ -47,14 +49,21 @@ def street_key(raw: Column) -> Column:
 
     A closing direction wins over a leading one. A name that is a direction and a type has an empty core. Null: both ''.
     """
-    s = squeezed(F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "[^A-Z0-9' ]", " "))
-    closing = F.regexp_extract(s, rf"\s({DIRECTIONS})$", 1)
-    s1 = F.when(closing != "", F.regexp_replace(s, rf"\s+({DIRECTIONS})$", "")).otherwise(s)
-    leading = F.regexp_extract(s1, rf"^({DIRECTIONS})\s+\S", 1)
-    s2 = F.when(leading != "", F.regexp_replace(s1, rf"^({DIRECTIONS})\s+", "")).otherwise(s1)
-    core = F.regexp_replace(s2, rf"\b({STREET_TYPES})\b", " ")
-    core = squeezed(F.regexp_replace(core, r"^(L|LITTLE)\b", "LITTLE"))
-    return F.struct(core.alias("core"), F.substring(F.when(closing != "", closing).otherwise(leading), 1, 1).alias("dir"))
+
+    def opened(s1: Column, closing: Column) -> Column:
+        return let(F.regexp_extract(s1, rf"^({DIRECTIONS})\s+\S", 1), lambda leading: key(s1, closing, leading))
+
+    def key(s1: Column, closing: Column, leading: Column) -> Column:
+        s2 = F.when(leading != "", F.regexp_replace(s1, rf"^({DIRECTIONS})\s+", "")).otherwise(s1)
+        core = F.regexp_replace(s2, rf"\b({STREET_TYPES})\b", " ")
+        core = squeezed(F.regexp_replace(core, r"^(L|LITTLE)\b", "LITTLE"))
+        return F.struct(core.alias("core"), F.substring(F.when(closing != "", closing).otherwise(leading), 1, 1).alias("dir"))
+
+    def closed(s: Column, closing: Column) -> Column:
+        return let(F.when(closing != "", F.regexp_replace(s, rf"\s+({DIRECTIONS})$", "")).otherwise(s), lambda s1: opened(s1, closing))
+
+    plain = squeezed(F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "[^A-Z0-9' ]", " "))
+    return let(plain, lambda s: let(F.regexp_extract(s, rf"\s({DIRECTIONS})$", 1), lambda closing: closed(s, closing)))
 
 
 def occupation_key(raw: Column) -> Column:
@@ -125,23 +134,29 @@ def alias_pairs(line: Column) -> Column:
 
     "was" points backwards and "see" both ways. Names whose key is empty, or the same as the other's, are no pair.
     """
-    text = F.trim(line)
 
     def clean(raw: Column) -> Column:
         bare = F.regexp_replace(F.trim(raw), "^[\"“”']+|[\"“”']+$", "")
         return F.regexp_replace(squeezed(F.regexp_replace(bare, r"\s*\(.*?\)\s*", " ")), r"^[ .,:;]+|[ .,:;]+$", "")
 
-    a, b = clean(F.regexp_extract(text, RELATION, 1)), clean(F.regexp_extract(text, RELATION, 3))
-    relation = F.lower(F.regexp_extract(text, RELATION, 2))
-    keys = F.transform(F.array(a, b), lambda n: street_key(n)["core"])
-    x, y = F.get(keys, 0), F.get(keys, 1)
+    def read(text: Column) -> Column:
+        names = F.struct(clean(F.regexp_extract(text, RELATION, 1)).alias("a"), clean(F.regexp_extract(text, RELATION, 3)).alias("b"))
+        return let(F.lower(F.regexp_extract(text, RELATION, 2)), lambda relation: F.when(relation != "", let(names, lambda n: keyed(n["a"], n["b"], relation))))
+
+    def keyed(a: Column, b: Column, relation: Column) -> Column:
+        told = (a != "") & (F.length(b) >= 3) & ~b.rlike(NO_TARGET)
+        keys = F.struct(street_key(a)["core"].alias("x"), street_key(b)["core"].alias("y"))
+        return F.when(told, let(keys, lambda k: pairs(k["x"], k["y"], relation)))
+
+    def pairs(x: Column, y: Column, relation: Column) -> Column:
+        def pair(old: Column, new: Column) -> Column:
+            return F.struct(old.alias("old"), new.alias("new"), relation.alias("relation"))
 
-    def pair(old: Column, new: Column) -> Column:
-        return F.struct(old.alias("old"), new.alias("new"), relation.alias("relation"))
+        both = F.when(relation == "was", F.array(pair(y, x))).when(relation == "see", F.array(pair(x, y), pair(y, x))).otherwise(F.array(pair(x, y)))
+        return F.when((x != "") & (y != "") & (x != y), both)
 
-    stated = text.rlike(RELATION) & (a != "") & (F.length(b) >= 3) & ~b.rlike(NO_TARGET) & (x != "") & (y != "") & (x != y)
-    pairs = F.when(relation == "was", F.array(pair(y, x))).when(relation == "see", F.array(pair(x, y), pair(y, x))).otherwise(F.array(pair(x, y)))
-    return F.when(stated, pairs).otherwise(F.slice(pairs, 1, 0))
+    none = F.array().cast("array<struct<old:string,new:string,relation:string>>")
+    return F.coalesce(let(F.trim(line), read), none)
 
 
 #: How the note of a street names its newer or older name, where such a name ends, and what opens no name.

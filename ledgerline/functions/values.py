@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ TIERS = {"bracketed": 0, "single_anchor": 1, "extrapolated": 1, "street_proporti
 PCT_CUTS, VALUE_CUTS = (5, 10, 15, 21), (100_000, 200_000, 400_000, 600_000)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row; a plain column is repeated, whole, at each place that names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def number(raw: Column, kind: str = "double") -> Column:
     """raw as a number; null, blank and what is none stay null, never 0."""
     return F.trim(raw).try_cast(kind)

@@ -31,6 +31,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt out by its key, for what is dear by row: a file of a few MB is read as one partition."""
+    return _t(spark, sf_dir, name).repartition(key)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -449,7 +454,7 @@ def alias_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, words = F.col("p_partkey") % 3, F.split("p_name", " ")
     relation = F.when(k == 0, ": now ").when(k == 1, ": was ").otherwise(": see ")
     line = F.concat(F.get(words, 0), F.lit(" Alley (old)"), relation, F.get(words, 1), F.when(k == 0, " 1850 and later").otherwise(""))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(names.alias_pairs(line)).alias("p")).select("p_partkey", "p.old", "p.new", "p.relation")
+    return _dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.explode(names.alias_pairs(line)).alias("p")).select("p_partkey", "p.old", "p.new", "p.relation")
 
 
 @_query("""

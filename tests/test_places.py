@@ -138,3 +138,9 @@ def test_crossings_equal_all_pairs_and_parallel_lines_make_none(spark, monkeypat
     want = sorted((a, b, round(p["x"], 6), round(p["y"], 6)) for a, b, p in all_pairs.collect() if p)
     assert len(want) > 200 and [x[:2] for x in got] == [x[:2] for x in want] and np.allclose(got, want, atol=1e-6)
     assert len(made[0].collect()) < 200 * 199 / 2
+
+
+def test_a_line_of_an_index_is_read_once(spark):
+    assert str(names.street_key(F.col("l"))).count("upper(") == 1
+    told = str(names.alias_pairs(F.col("l")))
+    assert told.count("upper(") == 2 and told.count("trim(l)") == 1
