@@ -171,15 +171,18 @@ def note_alias_pairs(street: Column, note: Column) -> Column:
 
     "now" and "now called" lead to the newer name, "formerly" and "late" to the older one; the first of each counts.
     """
-    here = street_key(street)["core"]
 
-    def pair(pattern: str, relation: str) -> Column:
+    def pair(pattern: str, relation: str, here: Column) -> Column:
         trimmed = r"^[ .,;:\-]+|[ .,;:\-]+$"
         raw = F.regexp_replace(squeezed(F.regexp_extract(F.coalesce(note, F.lit("")), pattern, 1)), trimmed, "")
-        other = F.regexp_replace(F.regexp_replace(raw, NAME_ENDS, ""), trimmed, "")
-        key = street_key(other)["core"]
-        old, new = (here, key) if relation == "now" else (key, here)
-        good = (other != "") & ~other.rlike(NO_NAME) & (key != "") & (here != "") & (key != here)
-        return F.when(good, F.struct(old.alias("old"), new.alias("new"), F.lit(relation).alias("relation")))
+        name = F.regexp_replace(F.regexp_replace(raw, NAME_ENDS, ""), trimmed, "")
 
-    return F.array_compact(F.array(pair(NOW_NAMED, "now"), pair(ONCE_NAMED, "formerly")))
+        def keyed(key: Column) -> Column:
+            old, new = (here, key) if relation == "now" else (key, here)
+            return F.when((key != "") & (key != here), F.struct(old.alias("old"), new.alias("new"), F.lit(relation).alias("relation")))
+
+        return let(name, lambda other: F.when((other != "") & ~other.rlike(NO_NAME), let(street_key(other)["core"], keyed)))
+
+    none = F.array().cast("array<struct<old:string,new:string,relation:string>>")
+    found = let(street_key(street)["core"], lambda here: F.when(here != "", F.array(pair(NOW_NAMED, "now", here), pair(ONCE_NAMED, "formerly", here))))
+    return F.coalesce(F.array_compact(found), none)

@@ -485,7 +485,7 @@ def note_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of old and new names that the notes beside streets give."""
     words = F.split("p_name", " ")
     note = F.concat(F.when(F.col("p_partkey") % 2 == 0, "now called ").otherwise("(formerly "), F.get(words, 1), F.lit(" alley from the water"))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(names.note_alias_pairs(F.concat(F.get(words, 0), F.lit(" st")), note)).alias("p")).select("p_partkey", "p.old", "p.new", "p.relation")
+    return _dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.explode(names.note_alias_pairs(F.concat(F.get(words, 0), F.lit(" st")), note)).alias("p")).select("p_partkey", "p.old", "p.new", "p.relation")
 
 
 @_query("""

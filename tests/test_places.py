@@ -144,3 +144,8 @@ def test_a_line_of_an_index_is_read_once(spark):
     assert str(names.street_key(F.col("l"))).count("upper(") == 1
     told = str(names.alias_pairs(F.col("l")))
     assert told.count("upper(") == 2 and told.count("trim(l)") == 1
+
+
+def test_a_note_is_read_once(spark):
+    told = str(names.note_alias_pairs(F.col("s"), F.col("n")))
+    assert told.count("upper(") == 3 and told.count("coalesce(n,") == 2
