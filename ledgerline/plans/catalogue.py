@@ -464,7 +464,7 @@ def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a directory parsed to people and the kind of their address."""
     k, n = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
     line = F.when(k == 0, F.concat(F.lit("Adams Dennis, labourer, "), n, F.lit(" Temple"))).when(k == 1, "f Adams Dennis, labourer. Pierce st w of Pearl").otherwise(F.concat(F.lit("Madden, John, labourer, Pratt st, dw "), n, F.lit(" Montgomery")))
-    parsed = _t(spark, sf_dir, "customer").select("c_custkey", addresses.entry(line).alias("e"))
+    parsed = _dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", addresses.entry(line).alias("e"))
     parsed = parsed.select("c_custkey", "e.surname", "e.given", "e.occupation", "e.dwelling_raw", "e.addr_raw")
     return parsed.withColumn("addr_type", addresses.address(F.col("addr_raw"))["addr_type"])
 

@@ -149,3 +149,8 @@ def test_a_line_of_an_index_is_read_once(spark):
 def test_a_note_is_read_once(spark):
     told = str(names.note_alias_pairs(F.col("s"), F.col("n")))
     assert told.count("upper(") == 3 and told.count("coalesce(n,") == 2
+
+
+def test_an_entry_and_its_address_are_read_once(spark):
+    assert str(addresses.entry(F.col("l"))).count("split(") == 2
+    assert str(addresses.address(F.col("l"))).count("coalesce(l,") == 1
